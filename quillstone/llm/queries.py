@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.llm.encode import encode_corpus, roundtrip, tokenizer_path
+from quillstone.llm.leakage import find_leaks
 from quillstone.plans.registry import Registry
 from quillstone.sources.tables import table
 
@@ -22,3 +23,19 @@ def p8_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """Texts by number of ids and whether decoding gives them back."""
     rows = roundtrip(table(spark, d, "documents"), "doc_id", "text", tokenizer_path())
     return rows.groupBy("same").agg(F.count("*").alias("texts"), F.sum("tokens").alias("tokens"))
+
+
+def _leaks(spark: SparkSession, d: str) -> DataFrame:
+    held_out = table(spark, d, "eval_items").where(F.lower(F.trim("split_name")).isin("validation", "test"))
+    return find_leaks(table(spark, d, "documents"), held_out)
+
+
+@R.add("p9_found")
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return _leaks(spark, d).select("doc_id", "item_id")
+
+
+@R.add("p9_items")
+def p9_items(spark: SparkSession, d: str) -> DataFrame:
+    """How many documents each item leaked into, and the largest share of it that one document holds."""
+    return _leaks(spark, d).groupBy("item_id").agg(F.count("*").alias("documents"), F.max("share").alias("largest_share"))
