@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillstone.llm.abuse import CUT, score_documents
 from quillstone.llm.encode import encode_corpus, roundtrip, tokenizer_path
 from quillstone.llm.leakage import find_leaks
 from quillstone.plans.registry import Registry
@@ -39,3 +40,26 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 def p9_items(spark: SparkSession, d: str) -> DataFrame:
     """How many documents each item leaked into, and the largest share of it that one document holds."""
     return _leaks(spark, d).groupBy("item_id").agg(F.count("*").alias("documents"), F.max("share").alias("largest_share"))
+
+
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return score_documents(docs, table(spark, d, "content_labels"), extra=("source",))
+
+
+@R.add("p10_found")
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return _scored(spark, d).where(F.col("score") >= CUT).select("doc_id")
+
+
+@R.add("p10_scores")
+def p10_scores(spark: SparkSession, d: str) -> DataFrame:
+    return _scored(spark, d).select("doc_id", F.round("score", 6).alias("score"), "worst", "sentences")
+
+
+@R.add("p10_rates")
+def p10_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Share of offensive documents of each source."""
+    source = F.lower(F.trim(F.coalesce("source", F.lit("")))).alias("source")
+    bad = F.col("score") >= CUT
+    return _scored(spark, d).groupBy(source).agg(F.count("*").alias("documents"), F.count_if(bad).alias("offensive"), F.round(F.avg(bad.cast("int")), 6).alias("rate"))
