@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillstone.llm.abuse import CUT, score_documents
 from quillstone.llm.encode import encode_corpus, roundtrip, tokenizer_path
 from quillstone.llm.leakage import find_leaks
+from quillstone.llm.scannoise import find_noise, repair_texts
 from quillstone.plans.registry import Registry
 from quillstone.sources.tables import table
 
@@ -63,3 +64,14 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
     source = F.lower(F.trim(F.coalesce("source", F.lit("")))).alias("source")
     bad = F.col("score") >= CUT
     return _scored(spark, d).groupBy(source).agg(F.count("*").alias("documents"), F.count_if(bad).alias("offensive"), F.round(F.avg(bad.cast("int")), 6).alias("rate"))
+
+
+@R.add("p7_found")
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return find_noise({n: (table(spark, d, n), "id", "plain_text") for n in ("recap_documents", "opinions")})
+
+
+@R.add("p7_repaired")
+def p7_repaired(spark: SparkSession, d: str) -> DataFrame:
+    """Every opinion as continuous paragraphs."""
+    return repair_texts(table(spark, d, "opinions"), "id", "plain_text").dropDuplicates(["row_id"])
