@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillstone.llm.abuse import CUT, score_documents
 from quillstone.llm.encode import encode_corpus, roundtrip, tokenizer_path
 from quillstone.llm.leakage import find_leaks
+from quillstone.llm.pii import find_pii, given_names, redact_column
 from quillstone.llm.scannoise import find_noise, repair_texts
 from quillstone.plans.registry import Registry
 from quillstone.sources.tables import table
@@ -75,3 +76,17 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 def p7_repaired(spark: SparkSession, d: str) -> DataFrame:
     """Every opinion as continuous paragraphs."""
     return repair_texts(table(spark, d, "opinions"), "id", "plain_text").dropDuplicates(["row_id"])
+
+
+@R.add("p5_found")
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    given = given_names(table(spark, d, "people"), "name_first")
+    docs = find_pii(table(spark, d, "recap_documents"), "recap_documents", "id", "plain_text", given)
+    contacts = find_pii(table(spark, d, "attorneys"), "attorneys", "id", "contact_raw", given, contact=True)
+    return docs.unionByName(contacts).select("src", "row_id", "pii_kind", "start_pos")
+
+
+@R.add("p5_redacted")
+def p5_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """Contact blocks with typed placeholders."""
+    return redact_column(table(spark, d, "attorneys"), "id", "contact_raw", given_names(table(spark, d, "people"), "name_first"), contact=True)
