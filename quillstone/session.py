@@ -65,3 +65,20 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 def small_enough(df: DataFrame, bytes_per_row: int, bound: int = BROADCAST_BYTES) -> bool:
     """Whether ``df`` (already materialised) is within the broadcast bound; its rows are counted."""
     return df.count() * bytes_per_row <= bound
+
+
+def ship_code(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers of every executor, once for each context."""
+    import zipfile
+    from pathlib import Path
+
+    sc = spark.sparkContext
+    if getattr(sc, "_quillstone_shipped", False):
+        return
+    here = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="quillstone-code-")) / "quillstone.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for p in sorted(here.rglob("*.py")):
+            z.write(p, p.relative_to(here.parent))
+    sc.addPyFile(str(target))
+    sc._quillstone_shipped = True
