@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillstone.llm.abuse import CUT, score_documents
 from quillstone.llm.encode import encode_corpus, roundtrip, tokenizer_path
 from quillstone.llm.leakage import find_leaks
+from quillstone.llm.linkage import link_dockets
 from quillstone.llm.pii import find_pii, given_names, redact_column
 from quillstone.llm.scannoise import find_noise, repair_texts
 from quillstone.plans.registry import Registry
@@ -90,3 +91,15 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 def p5_redacted(spark: SparkSession, d: str) -> DataFrame:
     """Contact blocks with typed placeholders."""
     return redact_column(table(spark, d, "attorneys"), "id", "contact_raw", given_names(table(spark, d, "people"), "name_first"), contact=True)
+
+
+@R.add("p4_found")
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return link_dockets(table(spark, d, "free_document_rows"), table(spark, d, "dockets")).select("docket_id", "row_id")
+
+
+@R.add("p4_confidence")
+def p4_confidence(spark: SparkSession, d: str) -> DataFrame:
+    """Matched rows by confidence in tenths."""
+    linked = link_dockets(table(spark, d, "free_document_rows"), table(spark, d, "dockets"))
+    return linked.groupBy(F.floor(F.col("confidence") * 10).alias("tenth")).agg(F.count("*").alias("matches"))
