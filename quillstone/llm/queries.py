@@ -9,8 +9,10 @@ from quillstone.llm.abuse import CUT, score_documents
 from quillstone.llm.encode import encode_corpus, roundtrip, tokenizer_path
 from quillstone.llm.leakage import find_leaks
 from quillstone.llm.linkage import link_dockets
+from quillstone.llm.names import attorney_classes, class_pairs, link_judges
 from quillstone.llm.pii import find_pii, given_names, redact_column
 from quillstone.llm.scannoise import find_noise, repair_texts
+from quillstone.operators.packed import explode_packed
 from quillstone.plans.registry import Registry
 from quillstone.sources.tables import table
 
@@ -103,3 +105,27 @@ def p4_confidence(spark: SparkSession, d: str) -> DataFrame:
     """Matched rows by confidence in tenths."""
     linked = link_dockets(table(spark, d, "free_document_rows"), table(spark, d, "dockets"))
     return linked.groupBy(F.floor(F.col("confidence") * 10).alias("tenth")).agg(F.count("*").alias("matches"))
+
+
+def _typed_judges(spark: SparkSession, d: str) -> DataFrame:
+    dockets = table(spark, d, "dockets").dropDuplicates(["id"])
+    one = dockets.select(F.lit("dockets").alias("src"), F.col("id").alias("row_id"), "court_id", F.col("assigned_to_str").alias("name"), F.col("date_filed").alias("date"))
+    clusters = table(spark, d, "opinion_clusters").dropDuplicates(["id"])
+    panel = explode_packed(clusters, "judges", ["id", "docket_id", "date_filed"], "name", "pos", 1)
+    many = panel.join(dockets.select(F.col("id").alias("docket_id"), "court_id"), "docket_id").select(F.lit("opinion_clusters").alias("src"), F.col("id").alias("row_id"), "court_id", "name", F.col("date_filed").alias("date"))
+    return one.unionByName(many)
+
+
+@R.add("p3_found")
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    people = table(spark, d, "people")
+    judges = link_judges(_typed_judges(spark, d), people).select("src", F.col("row_id").alias("id_a"), F.col("person_id").alias("id_b"))
+    pairs = class_pairs(attorney_classes(table(spark, d, "attorneys"), people))
+    return judges.unionByName(pairs.select(F.lit("attorneys").alias("src"), "id_a", "id_b"))
+
+
+@R.add("p3_attorney_classes")
+def p3_attorney_classes(spark: SparkSession, d: str) -> DataFrame:
+    """How many people or organisations stand in how many rows."""
+    sizes = attorney_classes(table(spark, d, "attorneys"), table(spark, d, "people")).groupBy("cls").count()
+    return sizes.groupBy(F.col("count").alias("rows")).agg(F.count("*").alias("entities"))
