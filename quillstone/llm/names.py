@@ -32,6 +32,7 @@ from itertools import permutations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillstone.operators.components import classes
 from quillstone.operators.hierarchy import resolve_hierarchy
 from quillstone.session import materialise
 
@@ -394,20 +395,6 @@ def attorney_classes(attorneys: DataFrame, people: DataFrame) -> DataFrame:
     return classes(prof.select("id"), star.unionByName(edges).distinct())
 
 
-def classes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, cls) of connected classes: least id, by label propagation with pointer jumping over written tables."""
-    both = materialise(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
-    label = materialise(nodes.select("id", F.col("id").alias("cls")), "labels")
-    while True:
-        seen = both.join(label.select(F.col("id").alias("b"), "cls"), "b").groupBy(F.col("a").alias("id")).agg(F.min("cls").alias("m"))
-        hop = label.join(seen, "id", "left").select("id", F.col("cls").alias("old"), F.least("cls", F.coalesce("m", "cls")).alias("cls"))
-        jump = label.select(F.col("id").alias("cls"), F.col("cls").alias("up"))
-        new = materialise(hop.join(jump, "cls", "left").select("id", "old", F.least("cls", F.coalesce("up", "cls")).alias("cls")), "labels")
-        if not new.where("cls <> old").limit(1).count():
-            return new.select("id", "cls")
-        label = new.select("id", "cls")
-
-
 def class_pairs(cls: DataFrame) -> DataFrame:
     """(id_a, id_b), smaller first, of every two rows of one class."""
     a, b = cls.select("cls", F.col("id").alias("id_a")), cls.select("cls", F.col("id").alias("id_b"))
