@@ -31,7 +31,7 @@ _QUOTES = {'"': '"', "“": "”", "'": "'", "‘": "’", "«": "»"}
 _OPEN, _CLOSE = "[({", "])}"
 _SUFFIX = re.compile(r"(?:jr|sr|ii|iii|iv|2nd|3rd)\.?", re.I)
 _AND = re.compile(r"and\b", re.I)
-_PLAIN = re.compile(r"[^\;|/\t\n\r,&\"“”'‘’«»\[\](){}aA]+")
+_PLAIN = re.compile(r"[^\\;|/\t\n\r,&\"“”'‘’«»\[\](){}aA]+")
 
 
 def _closes(text: str, start: int, mark: str) -> int:

@@ -7,9 +7,10 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Matching share of two texts, the larger of both directions; NULL counts as empty."""
     out = []
@@ -28,7 +29,7 @@ def length_ratio(a: Column, b: Column) -> Column:
     return F.least(F.length(a), F.length(b)) / F.greatest(F.length(a), F.length(b), F.lit(1))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def overlap_percent(a: pd.Series, b: pd.Series) -> pd.Series:
     """Share of the shorter text, in percent, that stands in the longer in blocks of more than five characters."""
     out = []
