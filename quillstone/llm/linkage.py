@@ -209,13 +209,26 @@ def fit_label_model(patterns: list[tuple[str, ...]], counts: np.ndarray) -> np.n
     match = (yes.sum(1) >= 3) & (yes[:, 1] | (no.sum(1) == 0)) | (yes.sum(1) >= 2) & (no.sum(1) == 0) & yes[:, 1]
     parties = ~match & yes[:, 1]
     number = ~match & ~parties & np.array([p[0].startswith("same") for p in patterns])
+    # What each kind may look like keeps the classes from trading places: small weights, not zeros.
+    rare = 0.02
+    masks = [np.ones((len(values), 4)) for values, _ in cols]
+    for i, v in enumerate(cols[0][0]):
+        masks[0][i] = [0.2 if v == "other" else 1, rare if v.startswith(("same", "slip")) else 0.3 if v == "0" else 1, 1 if v.startswith("same") else rare, rare if v.startswith(("same", "slip")) else 1]
+    for i, v in enumerate(cols[1][0]):
+        alike = v in ("all", "most", "side")
+        masks[1][i] = [rare if v == "none" else 1, 1 if alike else rare, rare if alike else 1, rare if alike else 1]
     post = np.stack([match, parties, number, ~(match | parties | number)], axis=1) * 0.94 + 0.015
     for _ in range(ROUNDS):
         w = counts[:, None] * post
         share = (w.sum(0) + 1) / (w.sum() + 4)
         z = np.tile(np.log(share), (len(patterns), 1))
-        for values, at in cols:
-            p = np.stack([np.bincount(at, w[:, k], len(values)) for k in range(4)], axis=1) + 0.2
+        for (values, at), mask in zip(cols, masks):
+            p = (np.stack([np.bincount(at, w[:, k], len(values)) for k in range(4)], axis=1) + 0.2) * mask
+            silent = values == "0"  # abstaining says nothing: as likely in every class
+            if silent.any() and not silent.all():
+                q = counts[silent[at]].sum() / counts.sum()
+                p[~silent] *= (1 - q) / p[~silent].sum(0)
+                p[silent] = q
             z += np.log(p / p.sum(0))[at]
         z -= z.max(1, keepdims=True)
         new = np.exp(z)

@@ -213,7 +213,7 @@ class Reader:
             options = self.candidates(w)
             # A misread form is itself common in a large corpus: beside a far more common source its own count says little.
             own = self.count(w) if not options else 0.0 if _ODD.search(w) else 0.05 * self.count(w)
-            options = [(w, _CLEAN + math.log(max(own, 0.5) / self.total)), *options]
+            options = [(w, _CLEAN + math.log(max(own, 0.02 if options else 0.5) / self.total)), *options]
             new: dict[str, tuple[float, list[str]]] = {}
             for y, lp in options:
                 best = max(((s + self._pair(x, y), p) for x, (s, p) in paths.items()), key=lambda t: t[0])
