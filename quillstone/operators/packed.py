@@ -47,20 +47,20 @@ def _closes(text: str, start: int, mark: str) -> int:
     return -1
 
 
-def _scan(text: str) -> list[tuple[str, str, bool]]:
-    """Tokens (value text, delimiter after it, quoted?) of one field."""
+def _scan(text: str) -> tuple[str, list[tuple[str, str, bool, int, int]]]:
+    """The field inside its bracket, and its tokens (value, delimiter after it, quoted?, where it starts and ends)."""
     text = text.strip()
     if text[:1] in tuple(_OPEN) and text[-1:] == _CLOSE[_OPEN.index(text[0])]:
         text = text[1:-1].strip()
-    out: list[tuple[str, str, bool]] = []
+    out: list[tuple[str, str, bool, int, int]] = []
     buf: list[str] = []
-    quoted, depth, i, n = False, 0, 0, len(text)
+    quoted, depth, i, n, begun = False, 0, 0, len(text), 0
 
-    def end(delim: str) -> None:
-        nonlocal quoted
-        out.append(("".join(buf).strip(), delim, quoted))
+    def end(delim: str, width: int = 1) -> None:
+        nonlocal quoted, begun
+        out.append(("".join(buf).strip(), delim, quoted, begun, i))
         buf.clear()
-        quoted = False
+        quoted, begun = False, i + width
 
     while i < n:
         c = text[i]
@@ -86,32 +86,34 @@ def _scan(text: str) -> list[tuple[str, str, bool]]:
             end("strong" if c in _STRONG else c)
             i += 1
         elif depth == 0 and c in "aA" and (i == 0 or text[i - 1].isspace()) and (m := _AND.match(text, i)) and (m.end() == n or text[m.end()].isspace()):
-            end("&")
+            end("&", m.end() - i)
             i = m.end()
         else:
             buf.append(c)
             i += 1
     end("")
-    return out
+    return text, out
 
 
 def split_packed(text: str | None) -> list[str]:
     """The values of one field, in order."""
     if text is None or not text.strip():
         return []
-    tokens = _scan(text)
-    strong = any(d == "strong" for _, d, _ in tokens)
+    text, tokens = _scan(text)
+    strong = any(t[1] == "strong" for t in tokens)
     values: list[str] = []
     before = ""
     glue = False  # the token before ended in a comma that belongs to its value
     before_quoted = False
-    for value, delim, quoted in tokens:
+    start = 0  # of the last value
+    for value, delim, quoted, a, z in tokens:
         if value:
             suffix = bool(_SUFFIX.fullmatch(value)) and not quoted
             if values and not quoted and (suffix and before != "strong" or glue and not before_quoted):
-                values[-1] = f"{values[-1]}, {value}"
+                values[-1] = f"{values[-1]}, {value}" if before_quoted else text[start:z].strip()  # as typed, comma and all
             else:
                 values.append(value)
+                start = a
             before_quoted = quoted
             glue, before = delim == "," and strong, delim
         elif delim != ",":
