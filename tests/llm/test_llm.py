@@ -147,7 +147,7 @@ def finder():
         ("Notices to Dr. Ormgate, Marcus, 12 Elm Street, Oakfen, TA 12345.", [("NAME", "Ormgate, Marcus"), ("ADDRESS", "12 Elm Street, Oakfen, TA 12345")]),
         ("Mr. J. Ormgate Jr. then left.", [("NAME", "J. Ormgate Jr.")]),
         ("Ormgate v. Helen Tarn", []),
-        ("moved to Rosa Hall on Monday", []),
+        ("moved to Rosa Hall in Helen County; (S.D. Arda. 2018)", []),
         ("counsel for Rosa Kestrel Foods Inc. said", []),
         ("call me at (404) 555-0100 or 404.555.0101", [("PHONE", "(404) 555-0100"), ("PHONE", "404.555.0101")]),
         ("+1 404 555 0100", [("PHONE", "+1 404 555 0100")]),
@@ -171,6 +171,7 @@ def test_pii(finder, text, want):
 def test_contact_blocks(finder):
     find = lambda t: [t[s:e] for k, s, e in finder.find(t, True) if k == "NAME"]
     assert find("JS Tarnmont\r\nTarn & Co LLP") == ["JS Tarnmont"] and find("Heleen Tarnmont\nX LLP") == ["Heleen Tarnmont"] and find("marcus tarnmont, X LLP") == ["marcus tarnmont"]
+    assert find("P. M. Tarnmont\r\n17 Elm St.") == ["P. M. Tarnmont"] and find("rosa tarnmont Sr\r\nX LLP")[0].startswith("rosa tarnmont") and find("TO Tarnmont\nX LLP") == ["TO Tarnmont"]
     assert find("Tarn Mont Legal Aid Society\n(o) (404) 555-0100") == [] and find("c/o Tarn, Mont & Associates") == []
 
 
