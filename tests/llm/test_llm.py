@@ -161,6 +161,7 @@ def finder():
         ("at P.O. Box 12, Vantry, QU 12345 and Rural Route 5, Box 9", [("ADDRESS", "P.O. Box 12, Vantry, QU 12345"), ("ADDRESS", "Rural Route 5, Box 9")]),
         ("7116 West 19th\nDrive, # 4", [("ADDRESS", "7116 West 19th\nDrive, # 4")]),
         ("corner of Larch Road and Elm Street; abuts Route 51; 286 Prov. Ct. 12", []),
+        ("The witness, Helen\n- 7 -\nAmes v. Bell          No. 12-503\nOrmgate, spoke at\nlength.", [("NAME", "Helen\n- 7 -\nAmes v. Bell          No. 12-503\nOrmgate")]),
         ("Hel-\nen Ormgate left", [("NAME", "Hel-\nen Ormgate")]),
     ],
 )
