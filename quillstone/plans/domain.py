@@ -208,10 +208,12 @@ def stm07(spark, d):
     return _hits(spark, d)
 
 
-@R.add("stm15_unseen_hits", f"SELECT alert_id, id FROM ({_PERC}) h WHERE id % 7 <> 0")
+@R.add("stm15_unseen_hits", f"SELECT h.alert_id, h.id FROM ({_PERC}) h JOIN {DOCS} r ON r.id = h.id WHERE r.date_upload IS NULL OR r.date_upload >= TIMESTAMPTZ '2015-01-01 00:00:00+00'")
 def stm15(spark, d):
+    """Hits that were not recorded when their document was first uploaded (before 2015)."""
     hits = _hits(spark, d)
-    return percolate.unseen(hits, hits.where("id % 7 = 0"), ["alert_id", "id"])
+    early = table(spark, d, "recap_documents").where(c("date_upload") < F.lit("2015-01-01").cast("timestamp")).select("id").distinct()
+    return percolate.unseen(hits, hits.join(early, "id", "left_semi"), ["alert_id", "id"])
 
 
 @R.add("stm17_capped_hits", f"SELECT alert_id, docket_id, id FROM (SELECT *, dense_rank() OVER (PARTITION BY alert_id ORDER BY docket_id) AS p FROM (SELECT h.alert_id, r.docket_id, r.id, row_number() OVER (PARTITION BY h.alert_id, r.docket_id ORDER BY r.id) AS k FROM ({_PERC}) h JOIN {DOCS} r ON r.id = h.id) WHERE k <= 3) WHERE p <= 30")

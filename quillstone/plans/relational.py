@@ -356,7 +356,7 @@ def win02(spark, d):
     return sequence.interleave(table(spark, d, "dockets").where("nature_of_suit LIKE '5%' AND date_terminated IS NULL").select("id", "court_id"), "court_id", "id")
 
 
-both("win03_cycle_restart", "dockets", "SELECT id, cycle, cycle <> coalesce(lag(cycle) OVER (ORDER BY cycle, court_id, id), 0) AS restart FROM (SELECT id, court_id, row_number() OVER (PARTITION BY court_id ORDER BY id) AS cycle FROM dockets WHERE court_id IN ('arsd', 'kesd', 'qund')) x")
+both("win03_cycle_restart", "dockets", "SELECT id, cycle, cycle <> coalesce(lag(cycle) OVER (ORDER BY cycle, court_id, id), 0) AS restart FROM (SELECT id, court_id, row_number() OVER (PARTITION BY court_id ORDER BY id) AS cycle FROM dockets) x")
 
 
 @R.add("win04_entry_sequence", "WITH e AS (SELECT DISTINCT id, docket_id, entry_number, entry_date_filed FROM recap_documents WHERE entry_date_filed IS NOT NULL AND document_type = 1), n AS (SELECT *, lead(entry_number) OVER (PARTITION BY docket_id ORDER BY id) AS nx FROM e), t AS (SELECT docket_id, arg_min(entry_number > nx, id) AS turn FROM n WHERE entry_number <> nx GROUP BY docket_id), p AS (SELECT e.*, CASE WHEN coalesce(t.turn, FALSE) THEN -e.id ELSE e.id END AS pos FROM e LEFT JOIN t USING (docket_id)), f AS (SELECT *, CASE WHEN lag(entry_date_filed) OVER (PARTITION BY docket_id ORDER BY pos) IS NOT DISTINCT FROM entry_date_filed THEN 0 ELSE 1 END AS fresh FROM p), g AS (SELECT *, sum(fresh) OVER (PARTITION BY docket_id ORDER BY pos) AS run FROM f) SELECT id, strftime(entry_date_filed, '%Y-%m-%d') || '.' || printf('%03d', row_number() OVER (PARTITION BY docket_id, run ORDER BY pos)) AS sequence_number FROM g")
@@ -421,7 +421,7 @@ both("srt14_custom_order", "opinions", f"SELECT opinion_type, CASE WHEN opinion_
 both("srt15_jurisdictions", "courts", "SELECT id FROM courts ORDER BY CASE jurisdiction WHEN 'F' THEN 0 WHEN 'FD' THEN 1 WHEN 'FB' THEN 2 WHEN 'S' THEN 3 ELSE 4 END, sort_position, id LIMIT 60")
 both("srt16_most_wanted", "recap_documents", f"SELECT id FROM {DOCS} r WHERE NOT is_available ORDER BY date_upload ASC NULLS LAST, page_count DESC NULLS FIRST, id LIMIT 50")
 both("srt18_sitemap", "opinion_clusters", "SELECT id FROM opinion_clusters WHERE citation_count > 5 ORDER BY citation_count DESC, id")
-both("srt17_authorities", "lineitem", "SELECT l_partkey, sum(l_linenumber) AS depth FROM lineitem WHERE l_orderkey <= 50 GROUP BY l_partkey ORDER BY depth DESC, l_partkey")
+both("srt17_authorities", "lineitem", "SELECT l_partkey, sum(l_linenumber) AS depth FROM lineitem GROUP BY l_partkey ORDER BY depth DESC, l_partkey")
 
 # Sets --------------------------------------------------------------------------------------------------------------------
 
