@@ -79,7 +79,8 @@ def _prepared(df: DataFrame, key: str) -> DataFrame:
 
 def _keys(rows: DataFrame, rare: DataFrame) -> DataFrame:
     """(id, key): blocking keys of each row; NULL keys are dropped."""
-    word = rows.select("id", "yy", "serial", "filed", F.explode("words").alias("w"))
+    # Only the rarest words of a caption make keys, so a date or number that very many rows share stays harmless.
+    word = rows.join(rare.select("id", "rarest"), "id").select("id", "yy", "serial", "filed", F.explode("rarest").alias("w"))
     number = F.concat_ws("-", "yy", "serial")
     has_number = F.col("yy").isNotNull() & F.col("serial").isNotNull()
     parts = [
@@ -87,7 +88,7 @@ def _keys(rows: DataFrame, rare: DataFrame) -> DataFrame:
         rows.select("id", F.when(has_number & F.col("filed").isNotNull(), F.concat_ws("|", F.lit("b"), number, F.col("filed").cast("string"))).alias("key")),
         word.select("id", F.when(F.col("filed").isNotNull(), F.concat_ws("|", F.lit("c"), "w", F.col("filed").cast("string"))).alias("key")),
         word.select("id", F.when(has_number, F.concat_ws("|", F.lit("d"), "w", number)).alias("key")),
-        rare.select("id", F.when(F.col("court").isNotNull() & (F.size("pair") == 2), F.concat_ws("|", F.lit("e"), F.array_join("pair", "+"), F.substring("court", 1, 4))).alias("key")),
+        rare.select("id", F.when(F.col("court").isNotNull() & (F.size("rarest") >= 2), F.concat_ws("|", F.lit("e"), F.array_join(F.array_sort(F.slice("rarest", 1, 2)), "+"), F.substring("court", 1, 4))).alias("key")),
     ]
     out = parts[0]
     for p in parts[1:]:
@@ -96,10 +97,10 @@ def _keys(rows: DataFrame, rare: DataFrame) -> DataFrame:
 
 
 def _rarest(rows: DataFrame, counts: DataFrame) -> DataFrame:
-    """The two rarest words of each caption, by the counts over all dockets."""
+    """The four rarest words of each caption, rarest first, by the counts over all dockets."""
     words = rows.select("id", "court", F.explode("words").alias("w")).join(counts, "w")
-    two = F.array_sort(F.transform(F.slice(F.array_sort(F.collect_list(F.struct("n", "w"))), 1, 2), lambda x: x["w"]))
-    return words.groupBy("id", "court").agg(two.alias("pair"))
+    four = F.transform(F.slice(F.array_sort(F.collect_list(F.struct("n", "w"))), 1, 4), lambda x: x["w"])
+    return words.groupBy("id", "court").agg(four.alias("rarest"))
 
 
 def _fold(w: str) -> str:
