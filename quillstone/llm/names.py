@@ -217,7 +217,11 @@ def link_judges(typed: DataFrame, people: DataFrame) -> DataFrame:
     )
     nick = spark.sparkContext.broadcast(_nickname_pairs(people))
     names = t.select("court", "name").distinct()
-    left = names.select("*", F.explode(_surname_words(F.col("name"))).alias("w")).select("court", "name", F.explode(delete_keys(F.col("w"))).alias("key")).distinct()
+    words = names.select("*", F.explode(_surname_words(F.col("name"))).alias("w"))
+    # A word that is somebody's surname as it stands is no slip for another one.
+    real = words.join(p.select(F.col("last").alias("w")).distinct(), "w", "left_semi").groupBy("court", "name").agg(F.collect_set("w").alias("real"))
+    spelled = words.join(real, ["court", "name"], "left").withColumn("real", F.coalesce("real", F.array().cast("array<string>")))
+    left = spelled.select("court", "name", "real", F.explode(delete_keys(F.col("w"))).alias("key")).distinct()
     right = p.where(F.col("court").isNotNull()).select("*", F.explode(delete_keys(F.col("last"))).alias("key"))
     pairs = left.join(right, ["court", "key"]).drop("key").distinct()
 
@@ -234,6 +238,8 @@ def link_judges(typed: DataFrame, people: DataFrame) -> DataFrame:
                     continue
                 given = [w for w in (*re.findall(r"[^\W\d_]+", c["first"][i] or ""), *re.findall(r"[^\W\d_]+", c["middle"][i] or "")) if w]
                 who = Name(given, c["last"][i], _SUFFIXES.get((c["suffix"][i] or "").strip("."), ""))
+                if a.last != who.last and a.last in c["real"][i]:
+                    continue
                 v = align(a, who, nicks)
                 if v is not None:
                     keep.append(i)
