@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,17 +34,16 @@ def bm25(df: DataFrame, key: str, text: str, query: list[str], k1: float = 1.2,
     words = list(dict.fromkeys(w.lower() for w in query))
     t = df.select(key, tokens(F.col(text)).alias("__t")).where(F.size("__t") > 0)
     counted = t.select(key, F.size("__t").alias("dl"), *[_times(w).alias(f"tf{i}") for i, w in enumerate(words)])
-    stats = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(words))])
-    hit = counted.join(F.broadcast(stats))  # one row
+    stats = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(words))]).first()  # one row
     score = F.lit(0.0)
     for i in range(len(words)):
-        tf, d = F.col(f"tf{i}"), F.col(f"df{i}")
-        idf = F.log(1 + (F.col("n") - d + 0.5) / (d + 0.5))
-        score = score + idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+        tf, d = F.col(f"tf{i}"), stats[f"df{i}"]
+        idf = math.log(1 + (stats["n"] - d + 0.5) / (d + 0.5))
+        score = score + idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / (stats["avgdl"] or 1.0)))
     some = F.lit(need_all)
     for i in range(len(words)):
         some = some & (F.col(f"tf{i}") > 0) if need_all else some | (F.col(f"tf{i}") > 0)
-    return hit.where(some).select(key, score.alias("score"))
+    return counted.where(some).select(key, score.alias("score"))
 
 
 def best_fields(scores: list[Column], tie: float = 0.3) -> Column:
@@ -74,8 +75,8 @@ def more_like_this(df: DataFrame, key: str, text: str, ids: list[int], terms: in
     posted = postings(df, key, text).where(F.length("term") >= min_len)
     source = posted.where(F.col(key).isin(ids)).groupBy("term").agg(F.sum("tf").alias("tf")).where(F.col("tf") >= min_tf)
     freq = posted.join(F.broadcast(source.select("term")), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") <= max_df)
-    n = df.agg(F.count("*").alias("n"))
-    pick = source.join(freq, "term").join(F.broadcast(n)).withColumn("w", F.col("tf") * F.log(F.col("n") / F.col("df"))).orderBy(F.desc("w"), "term").limit(terms)
+    n = df.count()
+    pick = source.join(freq, "term").withColumn("w", F.col("tf") * F.log(F.lit(float(n)) / F.col("df"))).orderBy(F.desc("w"), "term").limit(terms)
     return posted.where(~F.col(key).isin(ids)).join(F.broadcast(pick.select("term")), "term").groupBy(key).agg(F.count("*").alias("matched")).where(F.col("matched") >= min_match)
 
 
