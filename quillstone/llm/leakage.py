@@ -13,9 +13,11 @@ The evaluation items are a stated query set. Their fingerprints travel to the
 tasks as long as they stay within ``BLOCK_BYTES``; a larger set is taken in
 blocks of that size, each against all documents. Documents are never shuffled.
 
-Stock prose is told by the corpus itself: fingerprints of items that stand in
-more than ``STOCK_SHARE`` of all documents (counted over all of them) are left
-out, so stock prose alone never makes a candidate.
+Stock prose is told by the corpus itself: a fingerprint that stands in more
+than ``STOCK_SHARE`` of all documents (counted over all of them) is stock for
+an item if fewer than half of these documents hold ``SHARE`` of its words. The
+documents are extended to tell that, so an item that leaked widely, or in many
+copies, is no stock. Candidates are made by the other fingerprints alone.
 
 Defined results. NULL, empty and very short texts leak nothing; equal items
 are reported each; repeated document ids give one row for each item; an empty
@@ -138,9 +140,14 @@ class Items:
         )
 
     def drop_stock(self, stock: np.ndarray) -> None:
-        """Leave out fingerprints found to be stock prose; ``count`` stays, so an item that is mostly stock needs more of the rest."""
-        keep = ~np.isin(self.fps, stock)
-        self.fps, self.owner = self.fps[keep], self.owner[keep]
+        """Leave out the entries of ``fps`` found to be stock prose, and count items without them."""
+        self.count = self.count - np.bincount(self.owner[stock], minlength=len(self.ids))
+        self.fps, self.owner = np.delete(self.fps, stock), np.delete(self.owner, stock)
+
+    def pairs(self, doc: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The (document, item) pairs of hits as codes, the share of the item's fingerprints that each hits, and the pair of each hit."""
+        codes, pair, n = np.unique(doc * len(self.ids) + self.owner[which], return_inverse=True, return_counts=True)
+        return codes, n / self.count[codes % len(self.ids)], pair
 
 
 def _chunk_hits(raws: list[bytes], first: int, fps: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -262,15 +269,16 @@ def _against(docs: DataFrame, key: str, text: str, rows: list[tuple[int, str]])
     sc = docs.sparkSession.sparkContext
     src = docs.select(F.col(f"`{key}`").alias("doc"), F.col(f"`{text}`").alias("txt"))
     block = Items.build(rows)
-    plain = sc.broadcast(block.fps)
+    plain = sc.broadcast(block)
 
     def count(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        total, n = np.zeros(len(plain.value), np.int64), 0
+        items = plain.value
+        total, n = np.zeros(len(items.fps), np.int64), 0
         for b in batches:
             texts = b.column(1).to_pylist()
-            _, _, which = hits_of(texts, plain.value)
+            _, _, which = hits_of(texts, items.fps)
             total += np.bincount(which, minlength=len(total))
             n += len(texts)
         at = np.flatnonzero(total)
@@ -279,7 +287,29 @@ def _against(docs: DataFrame, key: str, text: str, rows: list[tuple[int, str]])
     counted = src.mapInArrow(count, "fp bigint, docs bigint").groupBy("fp").agg(F.sum("docs").alias("docs")).collect()  # at most one row a fingerprint
     seen = {r["fp"]: r["docs"] for r in counted}
     most = STOCK_SHARE * seen.pop(-1, 0) + 20
-    block.drop_stock(np.unique(block.fps[[f for f, n in seen.items() if n > most]]))
+    wide = np.array(sorted(f for f, n in seen.items() if n > most), np.int64)
+
+    def cases(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        items = plain.value
+        entries = np.flatnonzero(np.isin(items.owner, items.owner[wide]))  # all of the items with such fingerprints
+        total = np.zeros(len(items.fps), np.int64)
+        for b in batches:
+            raws, doc, which = hits_of(b.column(1).to_pylist(), items.fps[entries])
+            which = entries[which]
+            codes, share, pair = items.pairs(doc, which)
+            holds = np.zeros(len(codes), bool)
+            for k in np.flatnonzero(share >= GATE).tolist():
+                d, i = divmod(int(codes[k]), len(items.ids))
+                holds[k] = held_words(raws[d], items, i) >= SHARE * items.words[i]
+            total += np.bincount(which[holds[pair]], minlength=len(total))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["fp", "docs"])
+
+    if len(wide):
+        held = {r["fp"]: r["docs"] for r in src.mapInArrow(cases, "fp bigint, docs bigint").groupBy("fp").agg(F.sum("docs").alias("docs")).collect()}
+        block.drop_stock(np.array([f for f in wide.tolist() if 2 * held.get(f, 0) < seen[f]], np.int64))
     ready = sc.broadcast(block)
 
     def read(batches: Iterator) -> Iterator:
@@ -288,8 +318,7 @@ def _against(docs: DataFrame, key: str, text: str, rows: list[tuple[int, str]])
         items = ready.value
         for b in batches:
             raws, doc, which = hits_of(b.column(1).to_pylist(), items.fps)
-            codes, n = np.unique(doc * len(items.ids) + items.owner[which], return_counts=True)
-            share = n / items.count[codes % len(items.ids)]
+            codes, share, _ = items.pairs(doc, which)
             out: list[tuple[int, int, int, float, float]] = []
             for code, s in zip(codes[share >= GATE].tolist(), share[share >= GATE].tolist()):
                 d, i = divmod(code, len(items.ids))

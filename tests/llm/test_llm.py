@@ -80,6 +80,19 @@ def test_leaks_in_blocks(spark, monkeypatch):
     assert {(x["doc_id"], x["item_id"]) for x in leakage.find_leaks(df, ev).collect()} == {(i, i) for i in range(6)}
 
 
+def test_wide_leaks_are_no_stock(spark):
+    """An item in many documents or copies still comes out, with its lesser leaks; stock prose that an item holds does not."""
+    r = random.Random(8)
+    items = [_prose(r, 120) for _ in range(3)]
+    part = lambda x, a, z: " ".join(x.split()[a:z])
+    page = _prose(r, 50) + " " + part(items[1], 10, 60)
+    docs = [items[0] + " " + _prose(r, 40) for _ in range(50)] + [page] * 80 + [_prose(r, 60) + " " + part(items[2], 40, 47) for _ in range(60)] + [_prose(r, 80) for _ in range(60)]
+    docs += [part(items[0], 30, 66), part(items[1], 5, 45), part(items[2], 30, 70)]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id bigint, text string")
+    got = {(x["doc_id"], x["item_id"]) for x in leakage.find_leaks(df, spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")).collect()}
+    assert got == {(i, 0) for i in range(50)} | {(i, 1) for i in range(50, 130)} | {(250, 0), (251, 1), (252, 2)}
+
+
 # Offensive content ----------------------------------------------------------------------------------------------------------
 
 BAD = ["You are a worthless idiot and everybody knows it.", "Shut your mouth you moron.", "Those people are vermin and should be driven out."]
