@@ -91,8 +91,12 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 @R.add("p5_redacted")
 def p5_redacted(spark: SparkSession, d: str) -> DataFrame:
-    """Contact blocks with typed placeholders."""
-    return redact_column(table(spark, d, "attorneys"), "id", "contact_raw", given_names(table(spark, d, "people"), "name_first"), contact=True)
+    """Documents and contact blocks with typed placeholders, every row."""
+    given = given_names(table(spark, d, "people"), "name_first")
+    docs = redact_column(table(spark, d, "recap_documents"), "id", "plain_text", given)
+    contacts = redact_column(table(spark, d, "attorneys"), "id", "contact_raw", given, contact=True)
+    src = lambda df, name: df.select(F.lit(name).alias("src"), "row_id", "redacted")
+    return src(docs, "recap_documents").unionByName(src(contacts, "attorneys"))
 
 
 @R.add("p4_found")

@@ -366,3 +366,13 @@ def test_queries_run(spark, data, name):
     df = entry.queries()[name](spark, data)
     assert name not in COLUMNS or df.columns == COLUMNS[name].split()
     assert df.count() > (-1 if name == "p10_found" else 0)  # the smallest tables may hold no offence
+
+
+def test_both_columns_are_redacted(spark, data):
+    got = entry.queries()["p5_redacted"](spark, data)
+    assert got.columns == ["src", "row_id", "redacted"]
+    rows = {r["src"]: r["n"] for r in got.groupBy("src").agg(F.count("*").alias("n")).collect()}
+    assert rows == {t: spark.read.parquet(f"{data}/{t}.parquet").count() for t in ("recap_documents", "attorneys")}
+    holds = {tuple(r) for r in entry.queries()["p5_found"](spark, data).select("src", "row_id").distinct().collect()}
+    marked = {tuple(r) for r in got.where(r"redacted RLIKE '\\[(NAME|ADDRESS|PHONE|EMAIL|ID)\\]'").select("src", "row_id").collect()}
+    assert {"recap_documents", "attorneys"} == {s for s, _ in holds} and holds <= marked
