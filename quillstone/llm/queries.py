@@ -11,7 +11,7 @@ from quillstone.llm.leakage import find_leaks
 from quillstone.llm.linkage import link_dockets
 from quillstone.llm.names import attorney_classes, class_pairs, link_judges
 from quillstone.llm.pii import find_pii, given_names, redact_column
-from quillstone.llm.scannoise import find_noise, repair_texts
+from quillstone.llm.scannoise import find_noise, repair_sources
 from quillstone.operators.packed import explode_packed
 from quillstone.plans.registry import Registry
 from quillstone.sources.tables import table
@@ -77,8 +77,8 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 @R.add("p7_repaired")
 def p7_repaired(spark: SparkSession, d: str) -> DataFrame:
-    """Every opinion as continuous paragraphs."""
-    return repair_texts(table(spark, d, "opinions"), "id", "plain_text").dropDuplicates(["row_id"])
+    """Every document and opinion as continuous paragraphs."""
+    return repair_sources({n: (table(spark, d, n), "id", "plain_text") for n in ("recap_documents", "opinions")}).dropDuplicates(["src", "row_id"])
 
 
 @R.add("p5_found")

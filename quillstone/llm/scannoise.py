@@ -431,9 +431,12 @@ def find_noise(sources: dict[str, tuple[DataFrame, str, str]]) -> DataFrame:
     return rows.mapInArrow(run, "src string, row_id bigint, line_no int, noise_kind string").dropDuplicates()
 
 
-def repair_texts(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(row_id, repaired): each text as continuous paragraphs; NULL stays NULL."""
-    rows = df.select(F.col(f"`{key}`").alias("row_id"), F.col(f"`{text}`").alias("t"))
+def repair_sources(sources: dict[str, tuple[DataFrame, str, str]]) -> DataFrame:
+    """(src, row_id, repaired) over several (table, id column, text column), by the language of all: each text as continuous paragraphs; NULL stays NULL."""
+    parts = [df.select(F.lit(src).alias("src"), F.col(f"`{key}`").alias("row_id"), F.col(f"`{text}`").alias("t")) for src, (df, key, text) in sources.items()]
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
     counts = _Sent(rows.sparkSession.sparkContext.broadcast(count_language(rows.select("t"))))
 
     def run(batches: Iterator) -> Iterator:
@@ -441,6 +444,11 @@ def repair_texts(df: DataFrame, key: str, text: str) -> DataFrame:
 
         reader = _reader(counts)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([None if t is None else repair(t, reader) for t in b.column(1).to_pylist()], pa.string())], names=["row_id", "repaired"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([None if t is None else repair(t, reader) for t in b.column(2).to_pylist()], pa.string())], names=["src", "row_id", "repaired"])
 
-    return rows.mapInArrow(run, f"row_id {rows.schema[0].dataType.simpleString()}, repaired string")
+    return rows.mapInArrow(run, f"src string, row_id {rows.schema[1].dataType.simpleString()}, repaired string")
+
+
+def repair_texts(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(row_id, repaired) of one table."""
+    return repair_sources({"": (df, key, text)}).drop("src")

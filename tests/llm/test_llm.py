@@ -368,6 +368,20 @@ def test_queries_run(spark, data, name):
     assert df.count() > (-1 if name == "p10_found" else 0)  # the smallest tables may hold no offence
 
 
+def test_both_tables_are_repaired(spark, data):
+    got = entry.queries()["p7_repaired"](spark, data)
+    assert got.columns == ["src", "row_id", "repaired"]
+    rows = {r["src"]: r["n"] for r in got.groupBy("src").agg(F.count("*").alias("n")).collect()}
+    assert rows == {t: spark.read.parquet(f"{data}/{t}.parquet").select("id").distinct().count() for t in ("recap_documents", "opinions")}
+
+
+def test_repair_counts_the_language_of_all_tables(spark):
+    good = "the court finds that the motion was granted and the judgment was entered for the cross-claimant after the hearing ended denied " * 20
+    page, other = (spark.createDataFrame([(1, t)], "id bigint, plain_text string") for t in (PAGE, good))
+    got = scannoise.repair_sources({"a": (page, "id", "plain_text"), "b": (other, "id", "plain_text")}).where("src = 'a'").first()["repaired"]
+    assert "after the hearing ended." in got
+
+
 def test_both_columns_are_redacted(spark, data):
     got = entry.queries()["p5_redacted"](spark, data)
     assert got.columns == ["src", "row_id", "redacted"]
