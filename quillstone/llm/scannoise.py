@@ -88,7 +88,7 @@ class Counts:
         yield from folded.items()
         both: Counter = Counter()
         for (a, b), n in self.pairs.items():
-            if n > 1 and b[0].islower() and a.isalpha() and (y := clean[b]).isalpha():
+            if b[0].islower() and a.isalpha() and (y := clean[b]).isalpha():
                 both[f"{a.lower()} {y}"] += n
         yield from both.items()
         self.words.clear()

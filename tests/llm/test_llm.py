@@ -242,6 +242,11 @@ def test_find_noise(spark):
     assert scannoise.repair_texts(df, "id", "plain_text").where("row_id = 2 AND repaired IS NULL").count() == 1
 
 
+def test_pairs_count_the_same_however_parted(spark):
+    df = spark.createDataFrame([(f"repeatedly altered x{i}",) for i in range(12)], "t string")
+    assert [scannoise.count_language(df.repartition(n)).get("repeatedly altered") for n in (1, 12)] == [12, 12]
+
+
 def scannoise_expected():
     return [(1, "header"), (3, "hyphen"), (5, "char"), (6, "page_no"), (7, "header"), (9, "char"), (10, "page_no"), (11, "header")]
 
