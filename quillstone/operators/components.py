@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.session import materialise
+from quillstone.session import discard, materialise
 
 
 def classes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -16,13 +16,17 @@ def classes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     node is its own class.
     """
     both = materialise(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
-    label = materialise(nodes.select("id", F.col("id").alias("cls")), "labels")
+    label = written = materialise(nodes.select("id", F.col("id").alias("cls")), "labels")
     while True:
         seen = both.join(label.select(F.col("id").alias("b"), "cls"), "b").groupBy(F.col("a").alias("id")).agg(F.min("cls").alias("m"))
         hop = label.join(seen, "id", "left").select("id", F.col("cls").alias("old"), F.least("cls", F.coalesce("m", "cls")).alias("cls"))
         jump = label.select(F.col("id").alias("cls"), F.col("cls").alias("up"))
         new = materialise(hop.join(jump, "cls", "left").select("id", "old", F.least("cls", F.coalesce("up", "cls")).alias("cls")), "labels")
-        if not new.where("cls <> old").limit(1).count():
+        same = not new.where("cls <> old").limit(1).count()
+        discard(written)
+        written = new
+        if same:
+            discard(both)
             return new.select("id", "cls")
         label = new.select("id", "cls")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.operators.hierarchy import ancestor_pairs, resolve_hierarchy
+from quillstone.operators.hierarchy import ancestor_pairs, paths, resolve_hierarchy
 from quillstone.operators.packed import explode_packed
 from quillstone.operators.redelivery import RedeliveryFilter
 from quillstone.plans.registry import Registry
@@ -55,7 +55,24 @@ def _trees(spark: SparkSession, d: str) -> list[tuple[str, DataFrame, str]]:
     return [("courts", table(spark, d, "courts"), "parent_court_id"), ("people", table(spark, d, "people"), "is_alias_of_id")]
 
 
-@R.add("p6_found")
+_TRIM = "regexp_replace(lower({}), '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g')"
+_WALK = f"""
+WITH RECURSIVE t AS (
+  SELECT 'courts' AS kind, {_TRIM.format('id')} AS node, min(nullif({_TRIM.format('parent_court_id')}, '')) AS parent, min(id) AS given FROM courts WHERE trim(id) <> '' GROUP BY ALL
+  UNION ALL
+  SELECT 'people', CAST(id AS VARCHAR), min(CAST(is_alias_of_id AS VARCHAR)), min(CAST(id AS VARCHAR)) FROM people WHERE id IS NOT NULL GROUP BY id),
+r AS (SELECT kind, node, min(parent) AS parent, min(given) AS given FROM t GROUP BY kind, node),
+w AS (
+  SELECT r.kind, r.node, r.given, r.given AS path, 0 AS depth FROM r LEFT JOIN r p ON p.kind = r.kind AND p.node = r.parent WHERE p.node IS NULL
+  UNION ALL
+  SELECT c.kind, c.node, c.given, w.path || ' > ' || c.given, w.depth + 1 FROM r c JOIN w ON w.kind = c.kind AND w.node = c.parent)
+"""
+
+
+@R.add(
+    "p6_found",
+    _WALK + "SELECT r.kind AS node_kind, r.given AS node_id, coalesce(split_part(w.path, ' > ', 1), '') AS root_id, coalesce(w.depth, -1) AS depth FROM r LEFT JOIN w ON w.kind = r.kind AND w.node = r.node WHERE r.parent IS NOT NULL",
+)
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     parts = [
         resolve_hierarchy(df, "id", parent).where(F.col("parent").isNotNull()).select(F.lit(kind).alias("node_kind"), F.col("node").alias("node_id"), F.col("root").alias("root_id"), "depth")
@@ -64,7 +81,17 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
-@R.add("p6_descendants")
+@R.add(
+    "p6_descendants",
+    _WALK + ", up AS (SELECT kind, node, node AS top, given AS top_given, 0 AS distance FROM w UNION ALL SELECT up.kind, c.node, up.top, up.top_given, up.distance + 1 FROM up JOIN r c ON c.kind = up.kind AND c.parent = up.node) SELECT up.kind AS node_kind, up.top_given AS ancestor, r.given AS descendant, up.distance FROM up JOIN r ON r.kind = up.kind AND r.node = up.node WHERE up.distance > 0",
+)
 def p6_descendants(spark: SparkSession, d: str) -> DataFrame:
     parts = [ancestor_pairs(df, "id", parent).where("distance > 0").select(F.lit(kind).alias("node_kind"), "ancestor", "descendant", "distance") for kind, df, parent in _trees(spark, d)]
     return parts[0].unionByName(parts[1])
+
+
+@R.add("p6_paths", _WALK + "SELECT kind AS node_kind, given AS node_id, path, depth FROM w")
+def p6_paths(spark: SparkSession, d: str) -> DataFrame:
+    """The full path of every row outside loops, from its root down."""
+    parts = [paths(df, "id", parent).select(F.lit(kind).alias("node_kind"), F.col("node").alias("node_id"), F.array_join("path", " > ").alias("path"), (F.size("path") - 1).alias("depth")) for kind, df, parent in _trees(spark, d)]
+    return parts[0].unionByName(parts[1])

@@ -64,7 +64,7 @@ def flt15(spark, d):
 def flt14(spark, d):
     from quillstone.operators.hierarchy import ancestor_pairs
 
-    below = ancestor_pairs(table(spark, d, "courts"), "id", "parent_court_id").where("ancestor = 'cosup' AND distance > 0").select("descendant")
+    below = ancestor_pairs(table(spark, d, "courts"), "id", "parent_court_id", roots=["cosup"]).where("distance > 0").select("descendant")
     q = language.with_child_courts("court_id:cosup", {"cosup": [r[0] for r in below.collect()]})  # children of one court of a fixed table
     return table(spark, d, "courts").select(c("id").alias("court_id")).where(language.compile_query(language.parse(q), ["court_id"], ("court_id",))).select(c("court_id").alias("id"))
 

@@ -124,13 +124,13 @@ both("flt11_exists", "dockets", "SELECT id FROM dockets WHERE date_terminated IS
 
 @R.add("flt12_courts_with_descendants", "WITH RECURSIVE t AS (SELECT id FROM courts WHERE id IN ('cosup','zesup') UNION SELECT k.id FROM courts k JOIN t ON lower(trim(k.parent_court_id)) = t.id) SELECT count(*) AS n FROM dockets WHERE court_id IN (SELECT id FROM t)")
 def flt12(spark, d):
-    below = ancestor_pairs(table(spark, d, "courts"), "id", "parent_court_id").where(c("ancestor").isin("cosup", "zesup")).select(c("descendant").alias("court_id"))
+    below = ancestor_pairs(table(spark, d, "courts"), "id", "parent_court_id", roots=["cosup", "zesup"]).select(c("descendant").alias("court_id"))
     return table(spark, d, "dockets").join(F.broadcast(below.distinct()), "court_id", "left_semi").agg(F.count("*").alias("n"))
 
 
 @R.add("flt13_descendants", "WITH RECURSIVE t AS (SELECT id FROM courts WHERE id IN ('cosup','zesup') UNION SELECT k.id FROM courts k JOIN t ON lower(trim(k.parent_court_id)) = t.id) SELECT id FROM t WHERE id NOT IN ('cosup','zesup')")
 def flt13(spark, d):
-    return ancestor_pairs(table(spark, d, "courts"), "id", "parent_court_id").where(c("ancestor").isin("cosup", "zesup") & (c("distance") > 0)).select(c("descendant").alias("id")).distinct()
+    return ancestor_pairs(table(spark, d, "courts"), "id", "parent_court_id", roots=["cosup", "zesup"]).where(c("distance") > 0).select(c("descendant").alias("id")).distinct()
 
 
 @R.add("flt16_lookups", "SELECT id FROM dockets WHERE date_filed BETWEEN DATE '2005-01-01' AND DATE '2015-12-31' AND month(date_filed) = 6 AND lower(case_name) LIKE 'united%' AND id > 10")

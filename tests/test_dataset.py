@@ -122,14 +122,14 @@ def test_hierarchy_against_walking(spark, seed, task_rows):
     parent |= {"x": "absent", "self": "self", "hot": None} | {f"kid{i}": "hot" for i in range(60)}
     want = _walk({k: v for k, v in parent.items()})
     df = spark.createDataFrame([(k, v) for k, v in parent.items()], "id string, up string")
-    got = {x["node"]: (x["root"], x["depth"]) for x in hierarchy.resolve_hierarchy(df, "id", "up", task_rows=task_rows).collect()}
+    got = {x["node"]: (x["root"], x["depth"]) for x in hierarchy.resolve_hierarchy(df, "id", "up", task_rows=task_rows, last_rows=task_rows // 4).collect()}
     assert got == want
 
 
 def test_long_chain(spark):
     n = 3000
     df = spark.range(n).selectExpr("id", "CASE WHEN id > 0 THEN id - 1 END AS up")
-    got = hierarchy.resolve_hierarchy(df, "id", "up", task_rows=500)
+    got = hierarchy.resolve_hierarchy(df, "id", "up", task_rows=500, last_rows=100)
     assert got.where("root <> '0' OR depth <> cast(node as int)").count() == 0 and got.count() == n
 
 
@@ -146,3 +146,25 @@ def test_closure_and_paths(spark):
     pairs = {(x["ancestor"], x["descendant"]): x["distance"] for x in hierarchy.ancestor_pairs(df, "id", "up").collect()}
     assert pairs[("a", "e")] == 4 and pairs[("b", "d")] == 2 and len(pairs) == 15
     assert {x["node"]: x["path"] for x in hierarchy.paths(df, "id", "up").collect()}["e"] == ["a", "b", "c", "d", "e"]
+    below = {(x["ancestor"], x["descendant"]) for x in hierarchy.ancestor_pairs(df, "id", "up", roots=["c", "l"]).collect()}
+    assert below == {("c", "c"), ("c", "d"), ("c", "e")}
+
+
+def test_contraction_runs_through_several_levels(spark, monkeypatch):
+    """Chains into a loop, a wide parent and random trees, over many small tasks and more than two levels: roots, depths and paths as by walking."""
+    r = random.Random(11)
+    parent = {f"n{i}": (f"n{r.randrange(i)}" if i % 50 else None) for i in range(1, 400)} | {"n0": None}
+    parent |= {"loop": "loop", "c0": "loop"} | {f"c{i}": f"c{i - 1}" for i in range(1, 40)} | {f"k{i}": "n7" for i in range(50)} | {"q0": "q2", "q1": "q0", "q2": "q1"}
+    seen = []
+    solve = hierarchy._solve
+    monkeypatch.setattr(hierarchy, "_solve", lambda links, level, *more: seen.append(level) or solve(links, level, *more))
+    df = spark.createDataFrame(list(parent.items()), "id string, up string")
+    got = {x["node"]: x for x in hierarchy.resolve_hierarchy(df, "id", "up", task_rows=40, last_rows=5, with_path=True).collect()}
+    want = _walk(dict(parent))
+    assert {k: (v["root"], v["depth"]) for k, v in got.items()} == want and max(seen) >= 3
+    for k, (_, depth) in want.items():
+        path, at = [k], k
+        while depth >= 0 and parent.get(at) in parent:
+            at = parent[at]
+            path.insert(0, at)
+        assert got[k]["path"] == (path if depth >= 0 else None)
