@@ -71,13 +71,37 @@ def test_leaks(spark):
     assert leakage.find_leaks(df, ev.limit(0)).count() == 0 and leakage.find_leaks(df.limit(0), ev).count() == 0
 
 
-def test_leaks_in_blocks(spark, monkeypatch):
+def test_leaks_against_brute_force(spark):
+    """Every document that holds an item's quarter word for word comes out, however full the filter is, and none that holds none of it."""
     r = random.Random(6)
-    items = [_prose(r, 100) for _ in range(6)]
-    df = spark.createDataFrame([(i, x + " " + _prose(r, 30)) for i, x in enumerate(items)], "doc_id bigint, text string")
-    ev = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
-    monkeypatch.setattr(leakage, "BLOCK_BYTES", 60_000)
-    assert {(x["doc_id"], x["item_id"]) for x in leakage.find_leaks(df, ev).collect()} == {(i, i) for i in range(6)}
+    items = [_prose(r, 100) for _ in range(40)]
+    docs, want = [], set()
+    for i in range(120):
+        k = i % 40
+        a = r.randrange(60)
+        n = r.choice([0, 10, 30, 40])
+        docs.append((i, _prose(r, 30) + " " + " ".join(items[k].split()[a : a + n]) + " " + _prose(r, 30)))
+        if n >= 30:
+            want.add((i, k))
+    df, ev = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(5), spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    assert {(x["doc_id"], x["item_id"]) for x in leakage.find_leaks(df, ev).collect()} == want
+
+
+def test_a_full_filter_changes_nothing(spark, monkeypatch):
+    r = random.Random(7)
+    items = [_prose(r, 100) for _ in range(5)]
+    df = spark.createDataFrame([(i, x + " " + _prose(r, 30)) for i, x in enumerate(items)] + [(9, _prose(r, 200))], "doc_id bigint, text string")
+    monkeypatch.setattr(leakage, "BLOOM_BITS", 64)
+    assert {(x["doc_id"], x["item_id"]) for x in leakage.find_leaks(df, spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")).collect()} == {(i, i) for i in range(5)}
+
+
+def test_repeated_passages_keep_every_chain():
+    """An item found after very many repeats of one of its phrases is still found."""
+    r = random.Random(9)
+    words = _prose(r, 100).split()
+    item = leakage.Item(" ".join(words))
+    text = (" ".join(words[3:10]) + " " + _prose(r, 5) + " ") * 200 + " ".join(words[40:80])
+    assert leakage.held_words(leakage.squeeze(text), item) >= 40
 
 
 def test_wide_leaks_are_no_stock(spark):
