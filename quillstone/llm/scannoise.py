@@ -16,8 +16,8 @@ twice and never shuffled.
 
 Defined results. NULL, empty and blank texts have no noisy lines. Very long
 lines are read whole. Repeated rows count once. Text without line breaks has no
-header or broken word; its misread words are reported only in texts whose lines
-are as short as those of a page.
+header or broken word; its misread words are reported like those of any text,
+however long its lines and words are.
 """
 
 from __future__ import annotations
@@ -47,14 +47,17 @@ _CLEAN = math.log(0.98)
 WORD_LEAST, WORD_SHARE, PAIR_LEAST, PAIR_SHARE = 3, 1e-7, 5, 1e-6
 #: A candidate must be so many times as common as the word read.
 RATIO = 6
-#: Longest line of a page.
-PAGE_WIDTH = 115
+#: What a running header is at most: one printed line of so many characters.
+HEADER_WIDTH = 130
+#: Least likeness of two readings of one header.
+LIKE = 0.82
 
 _STRIP = " \t\f.,;:!?()[]{}\"“”‘’«»—–"
 _EDGE = "'-"
-_BROKEN = re.compile(r"([^\W\d_][\w'@$|\-]*)[-­¬‐]\s*$")
+_HYPHENS = "-­¬‐"
+_INNER = frozenset("'@$|-_")
 _ODD = re.compile(r"[0-9@$|üﬁﬂ]|'l'")
-_PAGE_NO = re.compile(r"^[\s\f]*(?:page\s+|p\.\s*)?[\[(*~\-–—\s]*\d{1,4}[\])~\-–—\s]*(?:of\s+\d{1,4})?\s*$", re.I)
+_PAGE_NO = re.compile(r"^[\s\f]*(?:page\s+|p\.\s*)?[\[(*~\-–—\s]*\d{1,4}[\])~\-–—\s]*(?:of\s+\d{1,4})?\s*$|^[\s\f]*\d{1,4}\.\s*$", re.I)
 
 
 def tokens_of(line: str) -> list[str]:
@@ -62,6 +65,20 @@ def tokens_of(line: str) -> list[str]:
     return [w.strip(_STRIP).strip(_EDGE) if not w.startswith("'l'") else w.strip(_STRIP) for w in line.split()]
 
 
+def broken_part(line: str) -> str:
+    """First part of a word that the end of a line breaks; empty where it breaks none."""
+    x = line.rstrip()
+    if not x or x[-1] not in _HYPHENS:
+        return ""
+    x = x[:-1]
+    i = len(x)
+    while i and (x[i - 1].isalnum() or x[i - 1] in _INNER):
+        i -= 1
+    while i < len(x) and not x[i].isalpha():
+        i += 1
+    return x[i:]
+
+
 class Counts:
     """Counters of one task, handed on when they grow."""
 
@@ -82,7 +99,7 @@ class Counts:
         for w, n in self.words.items():
             total += n
             c = clean[w] = w.strip(_STRIP).strip(_EDGE)
-            if c and any(x.isalpha() for x in c) and len(c) <= 40:
+            if c and any(x.isalpha() for x in c):
                 folded[c] += n
         yield "", total
         yield from folded.items()
@@ -146,6 +163,8 @@ class Reader:
         self.n = counts
         self.total = max(1, counts.get("", 1))
         self.held: dict[str, list[tuple[str, float]]] = {}
+        #: A reading changes a word's length by one letter at most, so words longer than this have no source within two readings.
+        self.longest = 2 + max((len(w) for w in counts if w.replace("-", "").replace("'", "").isalpha()), default=0)
         self.suspect = _Suspects(self).__getitem__
 
     def count(self, w: str) -> int:
@@ -180,10 +199,10 @@ class Reader:
             return self.held[w]
         out: list[tuple[str, float]] = []
         own = self.count(w)
-        if len(w) > 1 and len(w) <= 30 and any(c.isalpha() for c in w) and "." not in w and own < self.total * 1e-4:
+        if 1 < len(w) <= self.longest and any(c.isalpha() for c in w) and "." not in w and own < self.total * 1e-4:
             odd = bool(_ODD.search(w))
             for depth in (1, 2):
-                if depth == 2 and (len(w) > 22 or own):
+                if depth == 2 and own:
                     break
                 for y, lp in self._sources(w, depth).items():
                     n = self.count(y)
@@ -198,7 +217,6 @@ class Reader:
                     y = y.replace(read, true.upper() if w.isupper() else true)
                 out.append((y, -25.0))
         out.sort(key=lambda x: -x[1])
-        out = out[:5]
         if len(self.held) > 300_000:
             self.held.clear()
         self.held[w] = out
@@ -238,6 +256,11 @@ _FORMS = [
     re.compile(r"^(?=[^a-z]*$).{3,}\sV\.\s.{3,}$"),
 ]
 _CAPTION = re.compile(r"(?:\s[vV][.,s]{1,2}\s|^[I1l|][nN]\s+[rR][eEcC]\s|^(?:Estate|Matter|State|United States)\b.*\sv\.\s)")
+#: What stands before a number that goes with it: a section sign, volume and reporter, a month, a day; before one that ends a sentence, a word of reference too.
+_NUMBERED = re.compile(
+    r"(?:§|\b\d{1,4}(?:\s+(?:[A-Z][\w']*\.)+)+(?:\s?\d[a-z]{1,2}\.?)?|\b(?:No|Nos|January|February|March|April|May|June|July|August|September|October|November|December)\.?|\d,)$"
+)
+_REFERRED = re.compile(r"\b(?:paragraph|exhibit|page|count|section|part|rule|chapter|volume|document|number)$", re.I)
 _PAGED = re.compile(r"^(\d{1,4})\s{2,}(\S.*)$|^(\S.*\S)\s{2,}(\d{1,4})$")
 
 
@@ -252,9 +275,10 @@ def _bare(line: str) -> tuple[str, bool]:
 def _like(a: str, b: str) -> bool:
     if a == b:
         return True
-    if abs(len(a) - len(b)) > 4 or len(a) < 4:
+    if min(len(a), len(b)) < 4 or 2 * min(len(a), len(b)) < LIKE * (len(a) + len(b)):
         return False
-    return SequenceMatcher(None, a, b, False).ratio() >= 0.82
+    m = SequenceMatcher(None, a, b, False)
+    return m.real_quick_ratio() >= LIKE and m.quick_ratio() >= LIKE and m.ratio() >= LIKE
 
 
 def class_lines(lines: list[str]) -> list[str]:
@@ -264,15 +288,17 @@ def class_lines(lines: list[str]) -> list[str]:
     for at, i in enumerate(filled):
         if _PAGE_NO.match(lines[i]):
             x = lines[i].strip()
-            # a plain number in the middle of a sentence is the rest of a wrapped line
+            # a plain number in the middle or at the end of a sentence is the rest of a wrapped line
             before = lines[filled[at - 1]].rstrip() if at else ""
-            if x.isdigit() and re.search(r"(?:§|\b(?:No|Nos|Dec|Ct|Rep|Ard|Belm|January|February|March|April|May|June|July|August|September|October|November|December)\.?|\d,)$", before):
+            if x.rstrip(".").isdigit() and _NUMBERED.search(before):
                 continue
+            if x.endswith(".") and (_REFERRED.search(before) or i + 1 == len(lines) or kinds[i + 1] == "blank"):
+                continue  # a number that ends a paragraph
             kinds[i] = "page_no"
     strong: list[tuple[int, str]] = []
     weak: list[tuple[int, str]] = []
     for at, i in enumerate(filled):
-        if kinds[i] != "text" or len(lines[i]) > 130:
+        if kinds[i] != "text" or len(lines[i]) > HEADER_WIDTH:
             continue
         x, paged = _bare(lines[i])
         break_here = at == 0 or lines[i].startswith("\f") or kinds[filled[at - 1]] == "page_no" or paged
@@ -283,7 +309,7 @@ def class_lines(lines: list[str]) -> list[str]:
             strong.append((i, x))
         elif break_here and _CAPTION.search(x) and not x.endswith((".",)) or paged and (_CAPTION.search(x) or x.isupper()):
             (strong if paged or lines[i].startswith("\f") or at and kinds[filled[at - 1]] == "page_no" else weak).append((i, x))
-        elif near and len(x) <= 90:
+        elif near:
             weak.append((i, x))
     for i, _ in strong:
         kinds[i] = "header"
@@ -299,7 +325,6 @@ def noisy_lines(text: str, reader: Reader) -> list[tuple[int, str]]:
     lines = text.split("\n")
     out: list[tuple[int, str]] = []
     kinds = class_lines(lines) if len(lines) > 1 else ["text"]
-    page = max(map(len, lines)) <= PAGE_WIDTH
     fragment = ""  # first part of a word broken at the end of the text line before
     rest = [i for i, k in enumerate(kinds) if k == "text"]
     follows = dict(zip(rest, rest[1:]))
@@ -309,8 +334,8 @@ def noisy_lines(text: str, reader: Reader) -> list[tuple[int, str]]:
             out.append((i + 1, kind))
         if kind != "text":
             continue
-        m = _BROKEN.search(line)
-        if not m and (not page or not any(map(reader.suspect, line.split()))):
+        m = broken_part(line)
+        if not m and not any(map(reader.suspect, line.split())):
             fragment = ""
             continue
         check = tokens_of(line)
@@ -320,8 +345,8 @@ def noisy_lines(text: str, reader: Reader) -> list[tuple[int, str]]:
         if m and i in follows:
             nxt = lines[follows[i]].split()
             second = nxt[0].strip(_STRIP).strip(_EDGE) if nxt else ""
-            if second and (second[0].islower() or not second[0].isalpha() or m.group(1).isupper()):
-                first = m.group(1)
+            if second and (second[0].islower() or not second[0].isalpha() or m.isupper()):
+                first = m
                 whole, compound = first + second, f"{first}-{second}"
                 fragment = first
                 if check:
@@ -330,14 +355,13 @@ def noisy_lines(text: str, reader: Reader) -> list[tuple[int, str]]:
                 n_whole, n_compound = _known(reader, whole), _known(reader, compound)
                 if n_whole >= n_compound and not (n_whole == 0 and plain and _known(reader, first) and _known(reader, second) and _PREFIX.fullmatch(first)):
                     out.append((i + 1, "hyphen"))
-                if page:
-                    got = reader.candidates(whole) if n_whole == 0 else []
-                    if n_whole == 0 and got and n_compound == 0:
-                        y = got[0][0]
+                if n_whole == 0 and n_compound == 0 and reader.candidates(whole):
+                    y = reader.decode([*check[-2:-1], whole, *tokens_of(" ".join(nxt[1:2]))])[len(check[-2:-1])]
+                    if y != whole:
                         # the misread letter lies in the part that differs
                         spot = i if not y.lower().startswith(first.lower()) else follows[i]
                         out.append((spot + 1, "char"))
-        if page and any(reader.candidates(w) for w in check if w):
+        if any(reader.candidates(w) for w in check if w):
             if reader.decode(check) != check:
                 out.append((i + 1, "char"))
     return sorted(set(out))
@@ -359,7 +383,6 @@ def repair(text: str, reader: Reader) -> str:
     lines = text.split("\n")
     kinds = class_lines(lines) if len(lines) > 1 else ["text"]
     broken = {i for i, k in ((n - 1, k) for n, k in noisy_lines(text, reader)) if k == "hyphen"}
-    page = max(map(len, lines)) <= PAGE_WIDTH
     paragraphs: list[str] = [""]
     join = False
     for i, line in enumerate(lines):
@@ -370,13 +393,13 @@ def repair(text: str, reader: Reader) -> str:
         if kinds[i] != "text":
             continue
         x = line.strip()
-        last = bool(_BROKEN.search(line)) and i != len(lines) - 1
+        last = bool(broken_part(line)) and i != len(lines) - 1
         x = re.sub(r"[-­¬‐]\s*$", "" if i in broken else "-", x) if last else x
         paragraphs[-1] += x if join or not paragraphs[-1] else " " + x
         join = last
     out = []
     for p in paragraphs:
-        if page and p:
+        if p:
             raw = p.split()
             words = tokens_of(p)
             if any(reader.candidates(w) for w in words if w):

@@ -252,6 +252,16 @@ def test_noisy_lines(reader):
     assert scannoise.noisy_lines("", reader) == [] and scannoise.noisy_lines("one line of text", reader) == []
 
 
+def test_long_lines_and_words_are_read_too(reader):
+    """A line of any length switches nothing off; a page number may end in a stop, a number that ends a sentence is none."""
+    long = " ".join(["the court finds that the motion was granted"] * 40)
+    assert scannoise.noisy_lines(f"the court f1nds that\n{long}\n{long} and the judgmcnt was denied", reader) == [(1, "char"), (3, "char")]
+    assert scannoise.noisy_lines("the court f1nds that " + "x" * 100_000, reader) == [(1, "char")]
+    got = scannoise.noisy_lines("the motion was\n2.\nAmes v. Bell          No. 12-503\ngranted under section\n9.\nthe court on May 1,\n2013.\n", reader)
+    assert (2, "page_no") in got and not {(5, "page_no"), (7, "page_no")} & set(got)
+    assert "court finds that" in scannoise.repair(f"the court f1nds that\n{long}", reader)
+
+
 def test_repair(reader):
     got = scannoise.repair(PAGE, reader)
     assert "entered for the cross-claimant after the hearing ended." in got and "court finds that" in got and "No. 12-503" not in got and "- 1 -" not in got
