@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from quillstone.llm.scannoise import class_lines
 
 KINDS = ("EMAIL", "ID", "PHONE", "ADDRESS", "NAME")
-#: Most given names that may travel to the tasks.
-MOST_NAMES = 100_000
+#: Bytes of given names that may travel to the tasks, and how many of them the automaton takes; with more, capital words are looked up instead.
+NAMES_BYTES, AUTOMATON_NAMES = 64 * 1024 * 1024, 100_000
 
 #: Common given names, added to those the caller knows.
 GIVEN = (
@@ -45,15 +45,15 @@ _STREET = {
 _NOT_STREET = {"prov", "app", "fed", "cir", "supp", "dec", "rep", "pages", "page", "paragraph", "section"}
 #: Words that end the name of a firm or place, so what stands before them is no person.
 _FIRM = re.compile(
-    r"[\s,]*(?:&|and\s+(?:Associates|Partners|Sons|Co)\b|(?:Inc|Corp|Corporation|Co|Company|LLC|LLP|Ltd|L\.?L\.?[CP]|P\.?C|L\.P|P\.A|PLLC|Group|Holdings|Bank|Insurance|Mutual|Systems|Software|Freight|Foods|Dairy|"
-    r"Energy|Mining|Marine|Timber|Steel|Textiles|Medical|Pharma|Logistics|Airways|Properties|Associates|Partners|Legal|Law|Society|Foundation|Trust|Hall|Building|County|Courthouse|Center|Centre|School|University|"
+    r"[\s,]*(?:&|and\s+(?:Associates|Partners|Sons|Co)\b|(?:Inc|Corp|Corporation|Co|Company|LLC|LLP|Ltd|L\.?L\.?[CP]|P\.?C|L\.P|P\.A|PLLC|Group|Holdings|Bank|Insurance|Mutual|"
+    r"Associates|Partners|Legal|Law|Society|Foundation|Trust|Hall|Building|County|Courthouse|Center|Centre|School|University|"
     r"Hospital|Church|Park|Bridge|Library|Street|St|Avenue|Ave|Road|Rd|Lane|Drive|Court|Way|Parkway|Boulevard|Blvd|Public|Defender|Award|Prize|Act|Rule|Room|Wing|Tower|House|Memorial|College|Station)\b)",
     re.I,
 )
 _NO_SURNAME = {
     "the", "a", "an", "in", "on", "of", "and", "or", "at", "by", "to", "for", "we", "he", "she", "it", "this", "that", "these", "under", "until", "whether", "because", "costs", "only", "no", "not", "if", "even",
     "page", "case", "court", "judge", "exhibit", "paragraph", "hall", "will", "may", "shall", "counsel", "accordingly", "according", "nothing", "having", "interest", "taken", "three", "such", "what", "neither", "phone",
-    "fax", "tel", "email", "addr", "name", "rural", "post", "box", "po", "box", "document", "opinion", "rep", "app", "dec", "ct", "cir", "fed", "ard", "belm", "prov", "united", "states", "state", "estate", "inc", "llc",
+    "fax", "tel", "email", "addr", "name", "rural", "post", "box", "po", "box", "document", "opinion", "rep", "app", "dec", "ct", "cir", "fed", "prov", "united", "states", "state", "estate", "inc", "llc",
     "service", "as", "but", "so", "who", "whose", "then", "january", "february", "march", "april", "june", "july", "august", "september", "october", "november", "december", "jr", "sr", "ii", "iii", "iv", "attorney", "lead",
     "reply", "make", "please", "exhibit", "see", "summary", "all", "by", "further", "respectfully", "call", "bates", "order", "motion", "notice", "plaintiff", "defendant", "law", "offices", "office", "bar", "pro", "my", "our", "i",
 }
@@ -64,12 +64,16 @@ _INITIAL = r"[A-Z]\."
 _AT = r"(?:\s?@\s?|\s?[(\[{<]\s?at\s?[)\]}>]\s?|\sat\s)"
 _DOT = r"(?:\.|\s?[(\[{<]\s?dot\s?[)\]}>]\s?|\sdot\s)"
 _LOCAL = re.compile(r"[A-Za-z0-9!#$%&'*+/=?^_`{|}~\-]+(?:(?:\.|\s?[(\[]dot[)\]]\s?|\sdot\s)[A-Za-z0-9!#$%&'*+/=?^_`{|}~\-]+)*$", re.I)
+_LOCAL_HERE = re.compile(r"[A-Za-z0-9!#$%&'*+/=?^_`{|}~.\-]+")
 _AT_HERE = re.compile(_AT, re.I)
 _DOMAIN = re.compile(rf"[A-Za-z0-9](?:[A-Za-z0-9\-]{{0,62}})(?:{_DOT}[A-Za-z0-9\-]{{1,63}})*{_DOT}[A-Za-z]{{2,24}}(?![A-Za-z0-9])", re.I)
 _PHONE = re.compile(
-    r"(?<![\d\w$§.#\-/(])(?<!\d[ .\-/])(?:(?:\+1|1)[ .\-/]?\s?)?(?:\(\s?([2-9]\d\d)\s?\)\s{0,2}[.\-/]?|([2-9]\d\d)(?:[ .\-/]|\s)\s?|([2-9]\d\d)(?=555))([2-9]\d\d)(?:[ .\-\n]|-\s\n?|\s{2})?\s?(\d{4})(?![\d]|[\-/.,]\d|-[A-Za-z])"
+    r"(?<![\d\w$§.#\-/(])(?<!\d[ .\-/])(?:(?:\+1|1)[ .\-/]?\s?)?(?:\(\s?([2-9]\d\d)\s?\)\s{0,2}[.\-/]?|([2-9]\d\d)(?:[ .\-/]|\s)\s?|([2-9]\d\d)(?=[2-9]\d{6}))([2-9]\d\d)(?:[ .\-\n]|-\s\n?|\s{2})?\s?(\d{4})(?![\d]|[\-/.,]\d|-[A-Za-z])"
 )
-_PHONE_CUE = re.compile(r"(?:call|phone|tel|cell|fax|reach|mobile|dial|\bph|\bat|text|voice|number)\W{0,4}\w{0,8}\W{0,5}$", re.I)
+#: Words and marks that announce a phone or fax number.
+_PHONE_CUES = ("call", "phone", "tel", "cell", "fax", "reach", "mobile", "dial", " ph", "text", "voice", "(o)", "(f)", "(c)", "(m)", " f:", " o:", " p:", " c:", " m:", " t:", "tel:", "sms:")
+_AFTER_CUE = re.compile(r"\W{0,4}\w{0,8}\W{0,5}(?:at\s+)?")
+_URL_END = re.compile(r"[\s<>\"]|$")
 _NOT_PHONE = re.compile(r"(?:account|acct|check|case|docket|bates|part|order|invoice|policy|serial|item|sku|bar|page|claim|lot|tracking)\s?(?:no|number|nos|range)?[.:#]*\s*$", re.I)
 _SSN = re.compile(r"(?<![\w\-.#$/])(\d{3})([\- .])\s?(\d\d)\2\s?(\d{4})(?![\w\-]|\.\d|/\d)")
 _ALIEN = re.compile(r"(?<![\w\-])A(?:#\s?)?[ \-]?(?:\d{3}[ \-]\s?\d{3}[ \-]\s?\d{3}|\d{8,9}|\d{2}[ \-]\d{3}[ \-]\d{3})(?![\w\-])")
@@ -106,14 +110,20 @@ def scan_key(word: str) -> str:
 _STREET_KEYS = {scan_key(w) for w in _STREET if len(w) > 2} | {w for w in _STREET}
 
 
+#: Words, misread ones too, that begin no name with an initial in the middle.
+_NOT_FIRST = {scan_key(w) for w in (*_NO_SURNAME, "neither", "nor", "mr", "mrs", "ms", "miss", "dr", "officer", "hon", "prof", "sgt", "det", "detective", "deputy", "agent", "nurse", "rev", "capt", "lt")} | {scan_key(w.replace("fi", "ﬁ").replace("ffi", "fﬁ")) for w in ("officer",)}
+
+
 class Finder:
     """Automaton and gazetteer; made once in each Python worker."""
 
     held: dict[int, "Finder"] = {}
 
-    def __init__(self, given: Iterable[str]):
+    def __init__(self, given: Iterable[str], firms: Iterable[str] = ()):
         import ahocorasick
 
+        self.firms = {w.lower() for w in firms}
+
         names = {g.strip().lower() for g in [*given, *GIVEN] if g and len(g.strip()) > 1 and g.strip().isalpha()}
         self.given = names
         self.asked: dict[str, bool] = {}
@@ -124,19 +134,22 @@ class Finder:
         cues |= {w: "license" for w in ("license", "licence", "driver", "d.l.")} | {"passport": "passport", "passp0rt": "passport", "passporf": "passport"}
         cues |= {" box": "box", "route": "route", "r.r.": "route", " rr ": "route", "rfd": "route"}
         cues |= {f" {w}": "street" for w in _STREET if len(w) > 1}
+        cues |= {"mailto:": "mail scheme", "http://": "url", "https://": "url", "ftp://": "url", "www.": "url"}
+        cues |= {w: "phone" for w in _PHONE_CUES}
         for w, kind in cues.items():
             a.add_word(w, (kind, len(w)))
-        for w in names:
+        self.listed = len(names) <= AUTOMATON_NAMES
+        for w in names if self.listed else ():
             if not a.exists(w):
                 a.add_word(w, ("given", len(w)))
         a.make_automaton()
         self.cues = a
 
     @classmethod
-    def of(cls, key: int, given: Iterable[str]) -> "Finder":
+    def of(cls, key: int, given: Iterable[str], firms: Iterable[str] = ()) -> "Finder":
         if key not in cls.held:
             cls.held.clear()
-            cls.held[key] = cls(given)
+            cls.held[key] = cls(given, firms)
         return cls.held[key]
 
     def is_given(self, word: str) -> bool:
@@ -188,13 +201,23 @@ class Finder:
             low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
         low = low.replace("\n", " ").replace("\r", " ").replace("\t", " ").replace("\xa0", " ")
         given: list[int] = []
+        called: list[int] = []  # ends of cues of phone numbers
+        urls: list[tuple[int, int]] = []
         for end, (kind, n) in self.cues.iter(low):
             at = end - n + 1
             if kind == "given":
                 if (at == 0 or not (low[at - 1].isalnum() or low[at - 1] in "@._")) and (end + 1 == len(low) or not low[end + 1].isalnum()):
                     given.append(at)
                 continue
-            if kind in ("at", "at word"):
+            if kind == "phone":
+                called.append(end + 1)
+            elif kind == "url":
+                if not urls or at >= urls[-1][1]:
+                    urls.append((at, _URL_END.search(text, end + 1).start()))
+            elif kind == "mail scheme":
+                if (m := _LOCAL_HERE.match(text, end + 1)) and (a := _AT_HERE.match(text, m.end())) and (right := _DOMAIN.match(text, a.end())):
+                    found.append((end + 1, right.end(), 0))
+            elif kind in ("at", "at word"):
                 self._email(text, at, kind, found)
             elif kind == "tax":
                 if m := _TAX_ID.match(text, end + 1):
@@ -221,7 +244,7 @@ class Finder:
                 stop = end + 1
                 if stop == len(text) or not text[stop].isalnum():
                     self._street(text, at + 1, stop, found)
-        self._numbers(text, found)
+        self._numbers(text, contact, called, urls, found)
         if "\n" in text:
             self._scanned_streets(text, found)
         self._names(text, contact, given, found)
@@ -232,12 +255,14 @@ class Finder:
         if not m:
             return
         right = _DOMAIN.match(text, m.end())
-        left = _LOCAL.search(text[max(0, m.start() - 80) : m.start()])
+        width = 80
+        while (left := _LOCAL.search(text[max(0, m.start() - width) : m.start()])) and left.start() == 0 and width < m.start():
+            width *= 4  # the mailbox may begin further left
         if not right or not left:
             return
         if kind == "at word" and not re.search(r"dot", right.group(), re.I) and not re.fullmatch(r"\S+\.(?:com|org|net|edu|gov|example|test|invalid)", right.group(), re.I):
             return
-        start = max(0, m.start() - 80) + left.start()
+        start = max(0, m.start() - width) + left.start()
         for scheme in ("mailto:",):
             if text[start:].lower().startswith(scheme):
                 start += len(scheme)
@@ -265,19 +290,34 @@ class Finder:
             if w not in _STREET and len(w) > 3 and scan_key(w) in _STREET_KEYS:
                 found.append((m.start(), self._address_end(text, m.end()), 3))
 
-    def _numbers(self, text: str, found: list) -> None:
+    def _numbers(self, text: str, contact: bool, called: list[int], urls: list[tuple[int, int]], found: list) -> None:
         for m in _SSN.finditer(text):
             if not _NOT_ID.search(text[max(0, m.start() - 30) : m.start()]):
                 found.append((m.start(), m.end(), 1))
         for m in _ALIEN.finditer(text):
             if not _NOT_ID.search(text[max(0, m.start() - 30) : m.start()]):
                 found.append((m.start(), m.end(), 1))
+        last = -99
         for m in _PHONE.finditer(text):
             before = text[max(0, m.start() - 30) : m.start()]
-            bare = m.group().isdigit()
-            if _NOT_PHONE.search(before) or bare and m.group(4) != "555" and not _PHONE_CUE.search(before):
+            if _NOT_PHONE.search(before) or any(a <= m.start() < z for a, z in urls):
+                continue
+            if m.group().isdigit() and not self._announced(text, m.start(), m.end(), contact, called, last):
                 continue
             found.append((m.start(), m.end(), 2))
+            last = m.end()
+
+    @staticmethod
+    def _announced(text: str, start: int, end: int, contact: bool, called: list[int], last: int) -> bool:
+        """Whether ten bare digits are a phone number: a cue stands before them, another phone number is named with them, or they are a line of a contact block."""
+        for c in reversed(called[: bisect_right(called, start)]):
+            if start - c > 26:
+                break
+            if (m := _AFTER_CUE.match(text, c)) and m.end() >= start or text[c:start].isspace() or c == start:
+                return True
+        if last > start - 24 and re.fullmatch(r"\W*(?:(?:ext|x)\W{0,3}\d{1,5})?\W*(?:to|and|or|from)?\W*", text[last:start], re.I):
+            return True
+        return contact and not re.search(r"[^\s,;][^\S\r\n]*\Z", text[max(0, start - 40) : start]) and re.match(r"\s*(?:[,;\r\n]|$)", text[end:]) is not None
 
     # Names -----------------------------------------------------------------------------------------------------
 
@@ -285,10 +325,16 @@ class Finder:
     _LAST_FIRST = re.compile(rf"(?<![\w@.+\-])({_CAP}),\s+({_CAP})(?:\s+[A-Z]\b\.?)?")
     _CAPS = re.compile(rf"(?<![\w@.+\-]){_CAP}")
     _BEFORE = re.compile(rf"(?<![\w@.+\-])({_CAP}),\s+$")
+    #: Names by shape, whatever the given name: after a title, or with an initial in the middle.
+    _TITLED = re.compile(rf"(?<![\w.])(?:Mr|Mrs|Ms|Miss|Dr|Officer|Prof|Sgt|Det|Detective|Deputy|Nurse|Rev|Capt|Lt)\.?\s+(({_CAP})(?:\s+{_INITIAL})?\s+({_CAP}))")
+    _MIDDLE = re.compile(rf"(?<![\w@.+\-])({_CAP})\s+{_INITIAL}\s+({_CAP})")
     _INITIALS = re.compile(rf"(?<![\w.&@§])(?:{_INITIAL}\s*){{1,3}}(?<=[\s.])({_CAP})")
 
     def _ok_surname(self, w: str) -> bool:
-        return len(w) > 2 and w.lower().strip(".") not in _NO_SURNAME and not _FIRM.fullmatch(" " + w)
+        return len(w) > 2 and w.lower().strip(".") not in _NO_SURNAME and not self._firm(w)
+
+    def _firm(self, w: str) -> bool:
+        return w.lower() in self.firms or _FIRM.fullmatch(" " + w) is not None
 
     def _clean(self, view: str, start: int, end: int) -> bool:
         """Whether what stands around makes the words no caption, firm or place."""
@@ -297,7 +343,7 @@ class Finder:
         nxt = re.match(rf"\s+({_CAP})(?:\s+({_CAP}))?(?:\s+({_CAP}))?", view[end : end + 60])
         if nxt and "\n" not in view[end : end + 3] and not re.search(r"s/\s*$", view[max(0, start - 4) : start]) and not _TITLE.search(view[max(0, start - 14) : start]):
             for w in nxt.groups():
-                if w and _FIRM.fullmatch(" " + w):
+                if w and self._firm(w):
                     return False
         return not re.search(r"(?:\sv[s]?\.|\sV\.|\bIn re|\bEstate of|\bMatter of|\bOffices? of|&)\s*$", view[max(0, start - 14) : start])
 
@@ -322,7 +368,7 @@ class Finder:
 
         taken: list[tuple[int, int]] = []
         scanned = bool(cuts) or text.count("\n") > 3 and max(map(len, text.split("\n"))) < 115
-        if scanned or contact:  # given names may be broken or misread: every word with a capital is looked at
+        if scanned or contact or not self.listed:  # given names may be broken or misread: every word with a capital is looked at
             starts = [m.start() for m in self._CAPS.finditer(view) if self.is_given(m.group())]
         else:
             starts = given
@@ -357,6 +403,16 @@ class Finder:
             if self._ok_surname(last_name) and gap.count("\n") <= 1 and self._clean(view, p, end):
                 add(p, end)
                 taken.append((p, end))
+        for titled, form in ((True, self._TITLED), (False, self._MIDDLE)):
+            for m in form.finditer(view):
+                first, start, end = (m.group(2), m.start(1), m.end(1)) if titled else (m.group(1), m.start(), m.end())
+                last_name = m.group(3 if titled else 2)
+                if inside(start) or inside(end - 1) or not self._ok_surname(first) or not self._ok_surname(last_name) or not first[1:].replace("-", "").isalpha() or not self._clean(view, start, end):
+                    continue
+                if not titled and ("\n" in view[start:end] or scan_key(first) in _NOT_FIRST or re.search(r"\s[Vv]\.", m.group()) or re.search(r"[A-Z][\w'&]*\.?,?\s+$|\d\s+$|§\s*$", view[max(0, start - 30) : start])):
+                    continue
+                add(start, end)
+                taken.append((start, end))
         for m in self._INITIALS.finditer(view):
             if inside(m.start()) or inside(m.start(1)) or not self._ok_surname(m.group(1)) or re.match(r"[NSEWMC]\.\s?D\.", m.group()):
                 continue  # "S.D." is a court's district
@@ -380,7 +436,7 @@ class Finder:
             return
         line = re.match(r"[^\r\n]*", view).group()
         m = self._CONTACT.match(line)
-        if not m or "&" in line[: m.end() + 3] or _FIRM.match(view, m.end(1)) or any(_FIRM.fullmatch(" " + w) for w in m.group(1).split()):
+        if not m or "&" in line[: m.end() + 3] or _FIRM.match(view, m.end(1)) or any(self._firm(w) for w in m.group(1).split()):
             return
         words = m.group(1).replace(",", " ").split()
         if any(w.lower() in _NO_SURNAME for i, w in enumerate(words) if len(w.strip(".")) > 1 and not (i == 0 and len(w) == 2 and w.isupper())):
@@ -423,22 +479,37 @@ def redact(text: str | None, finder: Finder, contact: bool = False) -> str | Non
 
 
 def given_names(people: DataFrame, column: str) -> list[str]:
-    """Distinct given names of a table of people; at most ``MOST_NAMES``."""
-    names = [r[0] for r in people.select(F.lower(F.trim(F.col(column))).alias("n")).where(F.length("n") > 1).distinct().orderBy("n").limit(MOST_NAMES + 1).collect()]
-    if len(names) > MOST_NAMES:
-        raise ValueError(f"more than {MOST_NAMES} given names")
-    return names
+    """Distinct given names of a table of people; they travel to the tasks, so they may have ``NAMES_BYTES`` bytes in all, which is millions."""
+    names = people.select(F.lower(F.trim(F.col(column))).alias("n")).where(F.length("n") > 1).distinct()
+    size = names.agg(F.sum(F.octet_length("n"))).first()[0] or 0
+    if size > NAMES_BYTES:
+        raise ValueError(f"{size} bytes of given names, more than {NAMES_BYTES}")
+    return sorted(r[0] for r in names.collect())
+
+
+def firm_words(cases: DataFrame, column: str, least: int = 20) -> list[str]:
+    """Words that captions show as parts of firms' names: in ``least`` captions at least, mostly right before the form of a company, after different words.
+
+    A word in at least one of 5,000 captions is kept, so no more than some thousands come back.
+    """
+    form = r"(?:Inc|Corp|Corporation|Co|Company|LLC|LLP|Ltd|L\.?P|L\.?L\.?C|Group|Bank|Holdings)\b"
+    rows = cases.select(F.col(column).alias("c")).where(F.col("c").isNotNull())
+    shown = rows.select(F.explode(F.regexp_extract_all("c", F.lit(rf"(\p{{Lu}}[\p{{L}}'’]+ \p{{Lu}}[\p{{L}}]+) {form}"), F.lit(1))).alias("p"))
+    before = shown.select(F.split_part("p", F.lit(" "), F.lit(1)).alias("a"), F.lower(F.split_part("p", F.lit(" "), F.lit(2))).alias("w")).groupBy("w").agg(F.count("*").alias("n"), F.approx_count_distinct("a").alias("heads"))
+    everywhere = rows.select(F.explode(F.split(F.lower("c"), r"[^\p{L}]+")).alias("w")).groupBy("w").agg(F.count("*").alias("total"))
+    share = F.greatest(F.lit(least), F.lit(rows.count()) / 5000)
+    return sorted(r["w"] for r in before.join(everywhere, "w").where((F.col("n") >= share) & (2 * F.col("n") >= F.col("total")) & (F.col("heads") >= 5)).select("w").collect())
 
 
-def find_pii(df: DataFrame, src: str, key: str, text: str, given: list[str], contact: bool = False) -> DataFrame:
+def find_pii(df: DataFrame, src: str, key: str, text: str, given: list[str], contact: bool = False, firms: list[str] = ()) -> DataFrame:
     """(src, row_id, pii_kind, start_pos, end_pos) of each item; end_pos is the place after its last character."""
     rows = df.select(F.col(f"`{key}`").cast("bigint").alias("k"), F.col(f"`{text}`").alias("t")).where(F.col("t").rlike(r"\S"))
-    stamp = hash(tuple(given))
+    stamp = hash((*given, "", *firms))
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        finder = Finder.of(stamp, given)
+        finder = Finder.of(stamp, given, firms)
         for b in batches:
             at, kinds, starts, ends = [], [], [], []
             for i, t in enumerate(b.column(1).to_pylist()):
@@ -453,15 +524,15 @@ def find_pii(df: DataFrame, src: str, key: str, text: str, given: list[str], con
     return found.dropDuplicates().select(F.lit(src).alias("src"), "*")
 
 
-def redact_column(df: DataFrame, key: str, text: str, given: list[str], contact: bool = False) -> DataFrame:
+def redact_column(df: DataFrame, key: str, text: str, given: list[str], contact: bool = False, firms: list[str] = ()) -> DataFrame:
     """(row_id, redacted) of every row."""
     rows = df.select(F.col(f"`{key}`").alias("row_id"), F.col(f"`{text}`").alias("t"))
-    stamp = hash(tuple(given))
+    stamp = hash((*given, "", *firms))
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        finder = Finder.of(stamp, given)
+        finder = Finder.of(stamp, given, firms)
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([redact(t, finder, contact) for t in b.column(1).to_pylist()], pa.string())], names=["row_id", "redacted"])
 

@@ -10,7 +10,7 @@ from quillstone.llm.encode import encode_corpus, roundtrip, tokenizer_path
 from quillstone.llm.leakage import find_leaks
 from quillstone.llm.linkage import link_dockets
 from quillstone.llm.names import attorney_classes, class_pairs, link_judges
-from quillstone.llm.pii import find_pii, given_names, redact_column
+from quillstone.llm.pii import find_pii, firm_words, given_names, redact_column
 from quillstone.llm.scannoise import find_noise, repair_sources
 from quillstone.operators.packed import explode_packed
 from quillstone.plans.registry import Registry
@@ -83,18 +83,18 @@ def p7_repaired(spark: SparkSession, d: str) -> DataFrame:
 
 @R.add("p5_found")
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    given = given_names(table(spark, d, "people"), "name_first")
-    docs = find_pii(table(spark, d, "recap_documents"), "recap_documents", "id", "plain_text", given)
-    contacts = find_pii(table(spark, d, "attorneys"), "attorneys", "id", "contact_raw", given, contact=True)
+    given, firms = given_names(table(spark, d, "people"), "name_first"), firm_words(table(spark, d, "dockets"), "case_name")
+    docs = find_pii(table(spark, d, "recap_documents"), "recap_documents", "id", "plain_text", given, firms=firms)
+    contacts = find_pii(table(spark, d, "attorneys"), "attorneys", "id", "contact_raw", given, contact=True, firms=firms)
     return docs.unionByName(contacts).select("src", "row_id", "pii_kind", "start_pos")
 
 
 @R.add("p5_redacted")
 def p5_redacted(spark: SparkSession, d: str) -> DataFrame:
     """Documents and contact blocks with typed placeholders, every row."""
-    given = given_names(table(spark, d, "people"), "name_first")
-    docs = redact_column(table(spark, d, "recap_documents"), "id", "plain_text", given)
-    contacts = redact_column(table(spark, d, "attorneys"), "id", "contact_raw", given, contact=True)
+    given, firms = given_names(table(spark, d, "people"), "name_first"), firm_words(table(spark, d, "dockets"), "case_name")
+    docs = redact_column(table(spark, d, "recap_documents"), "id", "plain_text", given, firms=firms)
+    contacts = redact_column(table(spark, d, "attorneys"), "id", "contact_raw", given, contact=True, firms=firms)
     src = lambda df, name: df.select(F.lit(name).alias("src"), "row_id", "redacted")
     return src(docs, "recap_documents").unionByName(src(contacts, "attorneys"))
 

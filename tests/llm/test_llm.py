@@ -200,6 +200,10 @@ def finder():
         ("corner of Larch Road and Elm Street; abuts Route 51; 286 Prov. Ct. 12", []),
         ("The witness, Helen\n- 7 -\nAmes v. Bell          No. 12-503\nOrmgate, spoke at\nlength.", [("NAME", "Helen\n- 7 -\nAmes v. Bell          No. 12-503\nOrmgate")]),
         ("Hel-\nen Ormgate left", [("NAME", "Hel-\nen Ormgate")]),
+        ("Dr. Zorvath Quimperle and Xanthe Y. Brocade spoke", [("NAME", "Zorvath Quimperle"), ("NAME", "Xanthe Y. Brocade")]),
+        ("call 4046340100 or 4046340101, see 4046340102", [("PHONE", "4046340100"), ("PHONE", "4046340101")]),
+        ("see https://x.test/a?n=404-634-0100 and mailto:jo.q@x.test", [("EMAIL", "jo.q@x.test")]),
+        ("write to " + "a" * 200 + "@mail.example", [("EMAIL", "a" * 200 + "@mail.example")]),
     ],
 )
 def test_pii(finder, text, want):
@@ -213,6 +217,21 @@ def test_contact_blocks(finder):
     assert find("Tarn Mont Legal Aid Society\n(o) (404) 555-0100") == [] and find("c/o Tarn, Mont & Associates") == []
 
 
+def test_any_number_of_given_names(monkeypatch):
+    """With more names than the automaton takes, words are looked up instead: the same finds."""
+    names_ = [f"Zq{''.join(chr(97 + int(d)) for d in str(i))}" for i in range(100_001)]
+    text = f"Then {names_[7]} Ormgate met {names_[-1]} Tarnmont in Oakfen."
+    many = pii.Finder(names_)
+    assert not many.listed and many.find(text) == pii.Finder([names_[7], names_[-1]]).find(text) and len(many.find(text)) == 2
+
+
+def test_firm_words_come_from_captions(spark):
+    rows = [(f"{w} v. {h} Gadgets Inc.",) for w in ("Helen", "Rosa", "Ann", "Ida") for h in ("Tarn", "Mont", "Orm", "Vell", "Dune", "Ferr")] + [("Ormgate v. Tarnmont Corp.",), (None,)]
+    df = spark.createDataFrame(rows, "c string")
+    assert pii.firm_words(df, "c", 5) == ["gadgets"] and pii.firm_words(df.limit(0), "c") == []
+    assert pii.Finder(["Helen"], ["gadgets"]).find("Helen Gadgets said") == []
+
+
 def test_redaction_leaves_the_rest(spark):
     df = spark.createDataFrame([(1, "Call Helen Tarn at 404-555-0100."), (2, None), (3, ""), (1, "Call Helen Tarn at 404-555-0100."), (4, "word " * 50_000)], "id bigint, t string").withColumn("row_id", F.lit(0))
     got = {r["row_id"]: r["redacted"] for r in pii.redact_column(df, "id", "t", ["helen"]).collect()}
