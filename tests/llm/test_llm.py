@@ -149,7 +149,7 @@ def test_held_out_accuracy():
     r = random.Random(4)
     scorer = abuse.fit(*_training(r, 300))
     texts, y = _training(r, 200)
-    z, of = scorer.logits([abuse.Words(scorer.known, scorer.masked).codes(t) for t in texts])
+    z, of, _ = scorer.logits([abuse.Words(scorer.known, scorer.masked).codes(t) for t in texts])
     best = np.full(len(texts), -99.0)
     np.maximum.at(best, of, z)
     assert ((best > 0) == y).mean() > 0.97
@@ -165,7 +165,18 @@ def test_score_documents(spark):
     assert got[900]["score"] == got[901]["score"] == got[902]["score"] == 0 and got[900]["worst"] == 0
     assert got[903]["score"] > 0.5 and got[903]["worst"] == 2 and got[903]["in_score"] == "s"
     assert abuse.score_documents(docs.limit(0), labels).count() == 0
-    assert abuse.score_documents(docs, labels.limit(0)).where("score > 0.5 AND doc_id >= 900").count() <= 1
+    assert abuse.score_documents(docs, labels.limit(0)).where("score >= 0.25").count() == 0
+
+
+def test_two_doubtful_sentences_add_up_and_long_ones_keep_their_number(spark):
+    r = random.Random(2)
+    texts, y = _training(r, 200)
+    long = " ".join(["the county moved for adequate protection"] * 40) + ". " + BAD[0] + " And so on."
+    docs = spark.createDataFrame([*enumerate(texts), (900, long), (901, " ".join([BAD[0], GOOD[0]])), (902, " ".join([BAD[0], GOOD[0], BAD[1]]))], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, "abusive" if b else "none") for i, b in enumerate(y)], "doc_id bigint, label string")
+    got = {x["doc_id"]: x for x in abuse.score_documents(docs, labels).collect()}
+    assert got[900]["worst"] == 2 and got[900]["sentences"] == 3
+    assert got[902]["score"] > got[901]["score"] and got[902]["sentences"] == 3
 
 
 # Personal information ---------------------------------------------------------------------------------------------------------
