@@ -27,7 +27,6 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import permutations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -99,9 +98,14 @@ class Name:
 _PART = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*|\d(?:nd|rd)")
 
 
+def letters(word: str) -> str:
+    """A surname in the form it is compared by: small letters, without marks and spaces."""
+    return "".join(c for c in word.lower() if c.isalpha())
+
+
 @lru_cache(maxsize=100_000)
-def parse(typed: str) -> Name | None:
-    """A typed name with its parts in order; None where no surname is left."""
+def parse(typed: str, surname_words: int = 1) -> Name | None:
+    """A typed name with its parts in order, the last ``surname_words`` words taken as surname; None where no surname is left."""
     comma = re.match(r"\s*([^,]+),\s*(.+)$", typed)
     if comma and (words := _PART.findall(comma.group(2).lower())) and words[0] not in _SUFFIXES:
         rest = re.split(r",", comma.group(2), maxsplit=1)
@@ -120,7 +124,8 @@ def parse(typed: str) -> Name | None:
             kept.append(w)
     if not kept:
         return None
-    *first, last = kept
+    last = " ".join(kept[-surname_words:])
+    first = kept[:-surname_words]
     if len(last) == 1 and first and len(first[0]) > 2:  # "Smith J"
         first, last = [*first[1:], last], first[0]
     for w in first:
@@ -128,7 +133,7 @@ def parse(typed: str) -> Name | None:
             given.extend(w.lower())
         else:
             given.append(w.lower())
-    return Name(given, last.lower(), suffix)
+    return Name(given, letters(last), suffix)
 
 
 def _part_cost(a: str, b: str, nick: Nicknames) -> float:
@@ -164,13 +169,45 @@ def align(a: Name, b: Name, nick: Nicknames) -> float | None:
     x, y = (a.given, b.given) if len(a.given) <= len(b.given) else (b.given, a.given)
     if not x:
         return cost + (1.0 if y else 0.0)
-    best = 9.0
-    for order in permutations(range(len(y)), len(x)) if len(y) <= 4 else [tuple(range(len(x)))]:
-        c = 0.0
-        for i, j in enumerate(order):
-            c += _part_cost(x[i], y[j], nick) + (0.0 if i == j else 0.3)
-        best = min(best, c)
-    return None if best >= 9 else cost + best + 0.15 * (len(y) - len(x))
+    best = assign([[(_NEVER if (c := _part_cost(p, q, nick)) >= 9 else c) + (0.0 if i == j else 0.3) for j, q in enumerate(y)] for i, p in enumerate(x)])
+    return None if best >= _NEVER else cost + best + 0.15 * (len(y) - len(x))
+
+
+_NEVER = 1e6
+
+
+def assign(cost: list[list[float]]) -> float:
+    """Least sum of an assignment of each row to a column of its own (Hungarian method); there are as many columns as rows at least."""
+    n, m = len(cost), len(cost[0])
+    if n == 1:
+        return min(cost[0])
+    u, v, owner, way = [0.0] * (n + 1), [0.0] * (m + 1), [0] * (m + 1), [0] * (m + 1)
+    for i in range(1, n + 1):
+        owner[0], j0 = i, 0
+        least, used = [float("inf")] * (m + 1), [False] * (m + 1)
+        while True:
+            used[j0] = True
+            i0, delta, j1 = owner[j0], float("inf"), 0
+            for j in range(1, m + 1):
+                if not used[j]:
+                    c = cost[i0 - 1][j - 1] - u[i0] - v[j]
+                    if c < least[j]:
+                        least[j], way[j] = c, j0
+                    if least[j] < delta:
+                        delta, j1 = least[j], j
+            for j in range(m + 1):
+                if used[j]:
+                    u[owner[j]] += delta
+                    v[j] -= delta
+                else:
+                    least[j] -= delta
+            j0 = j1
+            if owner[j0] == 0:
+                break
+        while j0:
+            owner[j0] = owner[way[j0]]
+            j0 = way[j0]
+    return sum(cost[owner[j] - 1][j - 1] for j in range(1, m + 1) if owner[j])
 
 
 # Neighbourhood index ---------------------------------------------------------------------------------------------
@@ -179,22 +216,36 @@ def align(a: Name, b: Name, nick: Nicknames) -> float | None:
 def delete_keys(word: Column) -> Column:
     """A word and the word without each of its letters, as an array."""
     cut = F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.concat(F.substring(word, F.lit(1), i - 1), F.substring(word, i + 1, F.length(word))))
-    return F.array_distinct(F.concat(F.array(word), F.when(F.length(word) >= 5, cut).otherwise(F.array().cast("array<string>"))))
+    return F.array_distinct(F.concat(F.array(word), F.when(F.length(word) >= 4, cut).otherwise(F.array().cast("array<string>"))))
 
 
 def _surname_words(name: Column) -> Column:
-    """Words of a typed name that may be its surname."""
+    """Words of a typed name that may be its surname, and two or three neighbours taken as one (O'Brien, Smith-Jones, Van Dyke, De La Cruz)."""
     words = F.split(F.trim(F.regexp_replace(F.lower(name), r"[^\p{L}]+", " ")), " ")
-    return F.array_distinct(F.filter(words, lambda w: F.length(w) >= 3))
+    joined = lambda n: F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), ""))
+    none = F.array().cast("array<string>")
+    every = F.concat(words, *[F.when(F.size(words) >= n, joined(n)).otherwise(none) for n in (2, 3)])
+    return F.array_distinct(F.filter(every, lambda w: F.length(w) >= 2))
+
+
+def one_per_id(df: DataFrame, key: str = "id") -> DataFrame:
+    """One row of each id, always the same one: the least by its columns in order."""
+    rest = [c for c in df.columns if c != key]
+    return df.groupBy(key).agg(F.min(F.struct(*[F.col(f"`{c}`") for c in rest])).alias("__row")).select(key, *[F.col(f"__row.`{c}`").alias(c) for c in rest])
+
+
+#: A pair of given names enters the nicknames from this share of all alias pairs on (and from two), so at most its inverse travels.
+NICKNAME_SHARE = 1e-5
 
 
 def _nickname_pairs(people: DataFrame) -> list[tuple[str, str]]:
-    """Given names that an alias row and its target pair under one surname; distinct pairs, a few hundred at most."""
+    """Given names that an alias row and its target pair under one surname, at least twice; no more than 1 / ``NICKNAME_SHARE`` of them."""
     first = F.lower(F.trim("name_first"))
     p = people.select("id", "is_alias_of_id", first.alias("f"), F.lower(F.trim("name_last")).alias("l")).where(F.length("f") > 1)
     q = p.select(F.col("id").alias("is_alias_of_id"), F.col("f").alias("g"), F.col("l").alias("m"))
-    both = p.join(q, "is_alias_of_id").where((F.col("l") == F.col("m")) & (F.col("f") != F.col("g"))).groupBy("f", "g").count().where("count >= 2")
-    return [(r["f"], r["g"]) for r in both.orderBy(F.desc("count"), "f", "g").limit(20_000).collect()]
+    both = materialise(p.join(q, "is_alias_of_id").where((F.col("l") == F.col("m")) & (F.col("f") != F.col("g"))).groupBy("f", "g").count(), "nicknames")
+    least = max(2, NICKNAME_SHARE * (both.agg(F.sum("count")).first()[0] or 0))
+    return sorted((r["f"], r["g"]) for r in both.where(F.col("count") >= least).collect())
 
 
 # Judges ------------------------------------------------------------------------------------------------------------
@@ -208,20 +259,19 @@ def link_judges(typed: DataFrame, people: DataFrame) -> DataFrame:
     spark = typed.sparkSession
     court = lambda c: F.lower(F.trim(c))
     t = materialise(typed.where(~F.col("name").rlike(_FILLERS) & F.col("court_id").isNotNull()).select("src", "row_id", court(F.col("court_id")).alias("court"), F.trim(F.regexp_replace("name", r"\s+", " ")).alias("name"), "date"), "typed")
-    people = people.dropDuplicates(["id"])
+    people = one_per_id(people.select("id", "is_alias_of_id", "court_id", "name_first", "name_middle", "name_last", "name_suffix", "date_start", "date_termination"))
     roots = resolve_hierarchy(people, "id", "is_alias_of_id").where("depth >= 0").select(F.col("node").cast("bigint").alias("id"), F.col("root").cast("bigint").alias("root"))
     p = materialise(
         people.join(roots, "id").where(F.length(F.trim("name_last")) > 0).select(
-            "root", court(F.col("court_id")).alias("court"), F.lower(F.trim("name_first")).alias("first"), F.lower(F.trim("name_middle")).alias("middle"), F.lower(F.trim("name_last")).alias("last"), F.lower(F.trim("name_suffix")).alias("suffix"), "date_start", "date_termination",
+            "root", court(F.col("court_id")).alias("court"), F.lower(F.trim("name_first")).alias("first"), F.lower(F.trim("name_middle")).alias("middle"), F.regexp_replace(F.lower("name_last"), r"[^\p{L}]+", "").alias("last"), F.size(F.split(F.regexp_replace("name_last", r"^[^\p{L}]+|[^\p{L}]+$", ""), r"[^\p{L}]+")).alias("parts"), F.lower(F.trim("name_suffix")).alias("suffix"), "date_start", "date_termination",
         ), "judges",
     )
     nick = spark.sparkContext.broadcast(_nickname_pairs(people))
-    names = t.select("court", "name").distinct()
-    words = names.select("*", F.explode(_surname_words(F.col("name"))).alias("w"))
+    words = t.select("court", "name").distinct().select("*", F.explode(_surname_words(F.col("name"))).alias("w"))
     # A word that is somebody's surname as it stands is no slip for another one.
-    real = words.join(p.select(F.col("last").alias("w")).distinct(), "w", "left_semi").groupBy("court", "name").agg(F.collect_set("w").alias("real"))
-    spelled = words.join(real, ["court", "name"], "left").withColumn("real", F.coalesce("real", F.array().cast("array<string>")))
-    left = spelled.select("court", "name", "real", F.explode(delete_keys(F.col("w"))).alias("key")).distinct()
+    known = p.select(F.col("last").alias("w"), F.lit(True).alias("known")).distinct()
+    spelled = words.join(known, "w", "left").groupBy("court", "name").agg(F.collect_set("w").alias("words"), F.collect_set(F.when(F.col("known"), F.col("w"))).alias("real"))
+    left = spelled.select("court", "name", "real", F.explode(F.array_distinct(F.flatten(F.transform("words", delete_keys)))).alias("key"))
     right = p.where(F.col("court").isNotNull()).select("*", F.explode(delete_keys(F.col("last"))).alias("key"))
     pairs = left.join(right, ["court", "key"]).drop("key").distinct()
 
@@ -233,9 +283,10 @@ def link_judges(typed: DataFrame, people: DataFrame) -> DataFrame:
             c = {n: b.column(n).to_pylist() for n in b.schema.names}
             keep, cost = [], []
             for i in range(b.num_rows):
-                a = parse(c["name"][i])
-                if a is None:
+                typed_as = [n for k in {1, c["parts"][i]} if (n := parse(c["name"][i], k)) and near(n.last, c["last"][i]) < 9]
+                if not typed_as:
                     continue
+                a = min(typed_as, key=lambda n: near(n.last, c["last"][i]))
                 given = [w for w in (*re.findall(r"[^\W\d_]+", c["first"][i] or ""), *re.findall(r"[^\W\d_]+", c["middle"][i] or "")) if w]
                 who = Name(given, c["last"][i], _SUFFIXES.get((c["suffix"][i] or "").strip("."), ""))
                 if a.last != who.last and a.last in c["real"][i]:
@@ -348,7 +399,7 @@ def attorney_classes(attorneys: DataFrame, people: DataFrame) -> DataFrame:
     """(id, cls): rows of one person or organisation share cls, the least id among them."""
     spark = attorneys.sparkSession
     nick = spark.sparkContext.broadcast(_nickname_pairs(people))
-    rows = attorneys.dropDuplicates(["id"]).select(F.col("id").cast("bigint").alias("id"), "attorney_name", "contact_raw", "phone", "fax", "email")
+    rows = one_per_id(attorneys.select("id", "attorney_name", "contact_raw", "phone", "fax", "email")).select(F.col("id").cast("bigint").alias("id"), "attorney_name", "contact_raw", "phone", "fax", "email")
 
     def read(batches: Iterator) -> Iterator:
         import pyarrow as pa
