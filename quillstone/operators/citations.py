@@ -16,18 +16,42 @@ def _pattern(reporters: Sequence[str]) -> str:
     return rf"\b(\d{{1,4}})\s+({names})\s+(\d{{1,5}})\b"
 
 
+def _found(df: DataFrame, key: str, text: str, pattern: str) -> DataFrame:
+    """(key, seq, pos, cite): every match in order; pos is the number of words before it."""
+    pieces = F.split(F.regexp_replace(F.col(text), pattern, "\u0001$0"), "\u0001")
+    words = F.transform(pieces, lambda x: F.size(F.filter(F.split(x, r"\s+"), lambda w: w != "")))
+    each = df.select(key, F.posexplode(F.slice(F.zip_with(pieces, words, lambda p, n: F.struct(p.alias("piece"), n.alias("n"))), 2, 1_000_000_000)).alias("seq", "m"), F.get(words, F.lit(0)).alias("first"), words.alias("words"))
+    before = F.aggregate(F.slice("words", F.lit(1), F.col("seq") + 1), F.lit(0), lambda s, x: s + x)
+    return each.select(key, "seq", before.alias("pos"), F.regexp_extract("m.piece", f"^{pattern}", 0).alias("cite"))
+
+
 def extract(df: DataFrame, key: str, text: str, reporters: Sequence[str] = REPORTERS) -> DataFrame:
-    """(key, seq, volume, reporter, page): every full citation of a text, in order. JVM expressions only."""
+    """(key, seq, pos, volume, reporter, page): every full citation of a text, in order, and the number of words before it. JVM expressions only."""
     p = _pattern(reporters)
-    found = df.select(key, F.posexplode(F.regexp_extract_all(F.col(text), F.lit(p), F.lit(0))).alias("seq", "cite"))
     part = lambda i: F.regexp_extract("cite", p, i)
-    return found.select(key, "seq", part(1).cast("int").alias("volume"), F.regexp_replace(part(2), r"\s+", " ").alias("reporter"), part(3).cast("int").alias("page"))
+    return _found(df, key, text, p).select(key, "seq", "pos", part(1).cast("int").alias("volume"), F.regexp_replace(part(2), r"\s+", " ").alias("reporter"), part(3).cast("int").alias("page"))
 
 
-def short_forms(text: Column, reporters: Sequence[str] = REPORTERS) -> Column:
-    """Short citations "410 Ard. 2d at 12" as array of strings."""
+def extract_short(df: DataFrame, key: str, text: str, reporters: Sequence[str] = REPORTERS) -> DataFrame:
+    """(key, seq, pos, volume, reporter, pin): every short citation "410 Ard. 2d at 12" of a text."""
     names = "|".join(r.replace(".", r"\.").replace(" ", r"\s+") for r in reporters)
-    return F.regexp_extract_all(text, F.lit(rf"\b(\d{{1,4}}\s+(?:{names}),?\s+at\s+\d{{1,5}})\b"), F.lit(1))
+    p = rf"\b(\d{{1,4}})\s+({names}),?\s+at\s+(\d{{1,5}})\b"
+    part = lambda i: F.regexp_extract("cite", p, i)
+    return _found(df, key, text, p).select(key, "seq", "pos", part(1).cast("int").alias("volume"), F.regexp_replace(part(2), r"\s+", " ").alias("reporter"), part(3).cast("int").alias("pin"))
+
+
+def extract_supra(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, seq, pos, name): every "Name, supra" of a text with the antecedent name before it."""
+    p = r"\b([A-Z][\w'’\-]+),?\s+supra\b"
+    return _found(df, key, text, p).select(key, "seq", "pos", F.regexp_extract("cite", p, 1).alias("name"))
+
+
+def resolve_supra(supras: DataFrame, full: DataFrame, names: DataFrame, key: str) -> DataFrame:
+    """Supra citations by the cases cited in full in the same document whose name holds the antecedent, only where one fits; ``names`` has case_id and case_name."""
+    cited = full.where("status = 'matched'").select(key, "case_id").distinct().join(names, "case_id")
+    fits = supras.join(cited, key).where(F.array_contains(F.split(F.lower("case_name"), r"[^\p{L}\p{N}'’\-]+"), F.lower("name")))
+    one = fits.groupBy(key, "seq").agg(F.count_distinct("case_id").alias("n"), F.min("case_id").alias("case_id")).where("n = 1").drop("n")
+    return supras.join(one, [key, "seq"], "left")
 
 
 def resolve(cites: DataFrame, cases: DataFrame, own: str | None = None) -> DataFrame:

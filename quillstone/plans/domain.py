@@ -31,7 +31,7 @@ _CASES = "(SELECT id % 900 + 1 AS volume, ['Ard. 2d','App. Rep.','Prov. Ct.','Fe
 
 
 def _cites(spark, d):
-    return C.extract(table(spark, d, "opinions").select("id", "plain_text").distinct(), "id", "plain_text")
+    return C.extract(table(spark, d, "opinions"), "id", "plain_text").dropDuplicates(["id", "seq"])  # a repeated row repeats its places
 
 
 def _cases(spark, d):
@@ -72,7 +72,7 @@ def cit22(spark, d):
 
 @R.add("cit12_parallel_runs")
 def cit12(spark, d):
-    return C.parallel_runs(_cites(spark, d).withColumn("pos", c("seq") * 3), "id", "pos", 4).select("id", "run", F.array_join("cites", "; ").alias("cites"))
+    return C.parallel_runs(_cites(spark, d), "id", "pos", 6).select("id", "run", F.array_join("cites", "; ").alias("cites"))
 
 
 @R.add("cit19_annotated", f"SELECT DISTINCT id, regexp_replace(plain_text, '{_RX}', '<a href=\"/c/\\2/\\1/\\3/\">\\0</a>', 'g') AS html FROM opinions")
@@ -157,7 +157,13 @@ def dup19(spark, d):
 
 both("mrg03_untagged", "dockets audio", f"SELECT d.id FROM dockets d WHERE NOT EXISTS (SELECT 1 FROM {AUD} a WHERE a.docket_id = d.id AND a.source_code = 'C')")
 both("mrg04_filled_key", "free_document_rows dockets", "SELECT f.id, coalesce(a.id, b.id) AS docket FROM free_document_rows f LEFT JOIN (SELECT court_id, docket_number, min(id) AS id FROM dockets GROUP BY court_id, docket_number) a ON a.court_id = f.court_id AND a.docket_number = f.docket_number LEFT JOIN (SELECT court_id, case_name, min(id) AS id FROM dockets WHERE case_name <> '' GROUP BY court_id, case_name) b ON b.court_id = f.court_id AND b.case_name = f.case_name")
-both("mrg05_duplicate_entries", "recap_documents", f"SELECT r.id FROM {DOCS} r WHERE r.entry_number IS NULL AND EXISTS (SELECT 1 FROM {DOCS} o WHERE o.docket_id = r.docket_id AND o.description = r.description AND o.entry_date_filed = r.entry_date_filed AND o.entry_number IS NOT NULL)")
+both(
+    "mrg05_duplicate_entries", "recap_documents",
+    f"WITH k AS (SELECT * FROM {DOCS} r), odd AS (SELECT * FROM k WHERE entry_number IS NULL OR entry_number > 10000000), "
+    "by_doc AS (SELECT o.id, min(m.id) AS twin FROM odd o JOIN k m ON m.docket_id = o.docket_id AND m.pacer_doc_id = o.pacer_doc_id AND m.id <> o.id WHERE o.pacer_doc_id <> '' AND m.entry_number <= 10000000 GROUP BY o.id), "
+    "by_text AS (SELECT o.id, min(m.id) AS twin FROM odd o JOIN k m ON m.docket_id = o.docket_id AND m.description = o.description AND m.entry_date_filed = o.entry_date_filed AND m.id <> o.id WHERE o.description <> '' AND m.entry_number <= 10000000 AND o.id NOT IN (SELECT id FROM by_doc) GROUP BY o.id) "
+    "SELECT o.id, coalesce(d.twin, t.twin) AS twin, CASE WHEN d.twin IS NOT NULL THEN 'document' WHEN t.twin IS NOT NULL THEN 'text' ELSE 'none' END AS how FROM odd o LEFT JOIN by_doc d ON d.id = o.id LEFT JOIN by_text t ON t.id = o.id",
+)
 
 
 @R.add("mrg06_upsert", f"SELECT coalesce(o.docket_id, n.docket_id) AS docket_id, coalesce(o.entry_number, n.entry_number) AS entry_number, CASE WHEN o.docket_id IS NULL THEN 'insert' WHEN n.docket_id IS NULL THEN 'keep' ELSE 'update' END AS action FROM (SELECT DISTINCT docket_id, entry_number FROM recap_documents WHERE date_upload < TIMESTAMPTZ '2015-01-01 00:00:00+00' AND entry_number IS NOT NULL) o FULL JOIN (SELECT DISTINCT docket_id, entry_number FROM recap_documents WHERE date_upload >= TIMESTAMPTZ '2015-01-01 00:00:00+00' AND entry_number IS NOT NULL) n ON o.docket_id = n.docket_id AND o.entry_number = n.entry_number")

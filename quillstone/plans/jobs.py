@@ -107,7 +107,12 @@ shown("dup08_longest", "dockets", "id", "CASE WHEN length(coalesce(case_name_ful
 shown("dup09_long_field", "dockets", "id", kept=lambda: F.when(T.bag_cosine(F.coalesce("case_name", F.lit("")), F.coalesce("case_name_full", F.lit(""))) < 0.9, similarity.longer(c("case_name"), c("case_name_full"))).otherwise(c("case_name")))
 shown("dup05_content_rule", "dockets", "id", differs=lambda: (T.bag_cosine(F.coalesce("case_name", F.lit("")), F.coalesce("case_name_full", F.lit(""))) < 0.5) & (similarity.length_ratio(F.coalesce("case_name", F.lit("")), F.coalesce("case_name_full", F.lit(""))) < 0.7))
 shown("dup20_merged_fields", "dockets", "id", "coalesce(nullif(case_name,''), case_name_full) AS name, least(date_filed, date_terminated) AS earliest, greatest(date_created, date_modified) AS latest", name=lambda: F.coalesce(F.nullif("case_name", F.lit("")), c("case_name_full")), earliest=lambda: F.least("date_filed", "date_terminated"), latest=lambda: F.greatest("date_created", "date_modified"))
-shown("dup12_judge_merge", "opinion_clusters", "id", merged=lambda: N.merged_judges(F.coalesce("judges", F.lit("")), F.coalesce("judges", F.lit(""))))
+@R.add("dup12_judge_merge")
+def dup12(spark, d):
+    """Clusters whose judges change by the audio of their docket."""
+    from quillstone.plans.records import two_sources
+
+    return two_sources(spark, d).select("id", "audio_id", N.merged_judges(c("new"), c("kept")).alias("merged")).where("merged IS NOT NULL")
 
 
 @R.add("str40_or_join", "SELECT docket_id, string_agg(CAST(id AS VARCHAR), ' OR ' ORDER BY id) AS ids FROM opinion_clusters GROUP BY docket_id")
@@ -139,14 +144,15 @@ def cit02(spark, d):
 
 @R.add("cit04_short_citations")
 def cit04(spark, d):
+    """Short citations of a text ("410 Ard. 2d at 12") by the full ones resolved in it."""
     full = C.resolve(_cites(spark, d), _cases(spark, d))
-    short = _cites(spark, d).select("id", "volume", "reporter").distinct()
-    return C.resolve_short(short, full, "id").where("case_id IS NOT NULL")
+    short = C.extract_short(table(spark, d, "opinions"), "id", "plain_text").dropDuplicates(["id", "seq"])
+    return C.resolve_short(short, full, "id")
 
 
 @R.add("cit15_filing_edges")
 def cit15(spark, d):
-    cites = C.extract(table(spark, d, "recap_documents").select("id", "plain_text").dropDuplicates(["id"]), "id", "plain_text")
+    cites = C.extract(table(spark, d, "recap_documents"), "id", "plain_text").dropDuplicates(["id", "seq"])
     return C.edges(C.resolve(cites, _cases(spark, d)), "id")
 
 
@@ -250,7 +256,7 @@ def job10(spark, d):
 
 @R.add("job11_filing_citations")
 def job11(spark, d):
-    cites = C.extract(table(spark, d, "recap_documents").select("id", "plain_text").dropDuplicates(["id"]), "id", "plain_text")
+    cites = C.extract(table(spark, d, "recap_documents"), "id", "plain_text").dropDuplicates(["id", "seq"])
     return cites.groupBy("reporter").agg(F.count("*").alias("cites"), F.count_distinct("id").alias("filings"))
 
 

@@ -38,8 +38,21 @@ shown("str05_left_margin", "recap_documents", "id", plain=lambda: N.without_left
 shown("str27_needs_ocr", "recap_documents", "id", thin=lambda: N.needs_ocr(c("plain_text"), c("page_count")))
 shown("str18_texas_number", "free_document_rows", "id", number=lambda: N.texas_number(c("docket_number")))
 shown("str32_judge_surnames", "opinion_clusters", "id", names=lambda: F.array_join(N.judge_surnames(c("judges")), "|"))
-shown("str33_just_names", "audio", "id", n=lambda: F.size(N.judge_surnames(F.coalesce("judges", F.lit("")))))
-shown("str34_merged_judges", "opinion_clusters", "id", merged=lambda: N.merged_judges(F.coalesce("judges", F.lit("")), F.upper(F.coalesce("judges", F.lit("")))))
+shown("str33_just_names", "audio", "id", name=lambda: N.just_name(c("judges")))
+
+
+def two_sources(spark, d):
+    """Judges as the audio of a docket has them beside those of its clusters."""
+    a = table(spark, d, "audio").dropDuplicates(["id"]).where("judges IS NOT NULL").select("docket_id", c("id").alias("audio_id"), c("judges").alias("new"))
+    k = table(spark, d, "opinion_clusters").dropDuplicates(["id"]).where("judges IS NOT NULL").select("docket_id", "id", c("judges").alias("kept"))
+    return a.join(k, "docket_id")
+
+
+@R.add("str34_merged_judges")
+def str34(spark, d):
+    return two_sources(spark, d).select("audio_id", "id", N.merged_judges(c("new"), c("kept")).alias("merged"))
+
+
 shown("msc07_tidy_address", "attorneys", "id", tidy=lambda: N.tidy_address(c("contact_raw")))
 shown("msc08_contact_parts", "attorneys", "id", name=lambda: N.contact_parts(c("contact_raw"))["name"], street=lambda: N.contact_parts(c("contact_raw"))["street"], zip=lambda: N.contact_parts(c("contact_raw"))["zip"])
 shown("scr14_fragment", "documents", "doc_id", hit=lambda: N.fragment(c("text"), ["motion", "judgment"], 120))
@@ -167,7 +180,10 @@ both("jon21_last_name", "people dockets", f"SELECT d.id, count(DISTINCT p.id) AS
 both("jon25_depth_column", "lineitem orders", "SELECT o.o_orderkey, coalesce(e.depth, 0) AS depth FROM orders o LEFT JOIN (SELECT l_orderkey, sum(l_linenumber) AS depth FROM lineitem WHERE l_partkey = 7 GROUP BY l_orderkey) e ON e.l_orderkey = o.o_orderkey")
 both("jon27_possible_matches", "free_document_rows dockets", "SELECT f.id, d.id AS docket FROM free_document_rows f JOIN dockets d ON f.court_id = d.court_id AND f.date_filed = d.date_filed AND lower(substring(f.case_name, 1, 6)) = lower(substring(d.case_name, 1, 6))")
 both("jon08_child_limits", "recap_documents", f"SELECT docket_id, count(*) AS kept FROM (SELECT docket_id, document_type, row_number() OVER (PARTITION BY docket_id, document_type ORDER BY id) AS rn FROM {DOCS} r) x WHERE rn <= CASE WHEN document_type = 1 THEN 3 ELSE 1 END GROUP BY docket_id")
-both("scr02_scale_by_kind", "opinion_clusters dockets", "SELECT k.id, round(CASE WHEN d.court_id LIKE '%sup' THEN 1.0 WHEN d.court_id LIKE '%app' THEN 0.8 WHEN d.court_id LIKE '%d' THEN 0.6 ELSE 0.4 END * (k.citation_count + 1), 4) AS score FROM opinion_clusters k JOIN dockets d ON k.docket_id = d.id")
+both(
+    "scr02_scale_by_kind", "opinion_clusters dockets courts",
+    "SELECT k.id, round(CASE WHEN t.jurisdiction IN ('F', 'S') THEN 0.8 WHEN t.jurisdiction IN ('FD', 'SA') THEN 0.6 WHEN t.jurisdiction IN ('FB', 'ST') THEN 0.4 ELSE 1.0 END * (k.citation_count + 1), 4) AS score FROM opinion_clusters k JOIN dockets d ON k.docket_id = d.id LEFT JOIN (SELECT id, max(jurisdiction) AS jurisdiction FROM courts GROUP BY id) t ON t.id = d.court_id",
+)
 both("scr12_top_child_score", "recap_documents", f"SELECT docket_id, max(page_count) AS top FROM {DOCS} r GROUP BY docket_id")
 both("mrg01_numbered_or_not", "recap_documents", f"SELECT docket_id, count(CASE WHEN entry_number IS NOT NULL THEN 1 END) AS numbered, count(CASE WHEN entry_number IS NULL THEN 1 END) AS unnumbered FROM {DOCS} r GROUP BY docket_id")
 both("mrg02_by_description", "recap_documents", f"SELECT a.id AS a, b.id AS b FROM {DOCS} a JOIN {DOCS} b ON a.docket_id = b.docket_id AND a.description = b.description AND a.entry_date_filed = b.entry_date_filed AND a.id < b.id WHERE a.entry_number IS NULL")

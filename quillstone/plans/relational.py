@@ -31,14 +31,16 @@ def both(name: str, tables: str, sql: str, twin: str | None = None) -> None:
     R.add(name, twin or sql)(run)
 
 
-DOCS = "(SELECT DISTINCT id, docket_id, court_id, entry_number, entry_date_filed, document_number, attachment_number, document_type, is_available, page_count, pacer_doc_id, ocr_status, date_upload, description FROM recap_documents)"
-OPS = "(SELECT DISTINCT id, cluster_id, opinion_type, author_id, sha1, extracted_by_ocr, page_count, ordering_key FROM opinions)"
+#: One row for each id; a column that a query doesn't use is pruned with its aggregate, down to the scan.
+DOCS = "(SELECT id, max(docket_id) AS docket_id, max(court_id) AS court_id, max(entry_number) AS entry_number, max(entry_date_filed) AS entry_date_filed, max(document_number) AS document_number, max(attachment_number) AS attachment_number, max(document_type) AS document_type, max(is_available) AS is_available, max(page_count) AS page_count, max(pacer_doc_id) AS pacer_doc_id, max(ocr_status) AS ocr_status, max(date_upload) AS date_upload, max(description) AS description FROM recap_documents GROUP BY id)"
+OPS = "(SELECT id, max(cluster_id) AS cluster_id, max(opinion_type) AS opinion_type, max(author_id) AS author_id, max(sha1) AS sha1, max(extracted_by_ocr) AS extracted_by_ocr, max(page_count) AS page_count, max(ordering_key) AS ordering_key FROM opinions GROUP BY id)"
 PPL = "(SELECT DISTINCT * FROM people)"
 AUD = "(SELECT DISTINCT * FROM audio)"
 
 
 def docs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "recap_documents").select("id", "docket_id", "court_id", "entry_number", "entry_date_filed", "document_number", "attachment_number", "document_type", "is_available", "page_count", "pacer_doc_id", "date_upload", "description").distinct()
+    kept = ("docket_id", "court_id", "entry_number", "entry_date_filed", "document_number", "attachment_number", "document_type", "is_available", "page_count", "pacer_doc_id", "date_upload", "description")
+    return table(spark, d, "recap_documents").groupBy("id").agg(*[F.max(k).alias(k) for k in kept])
 
 
 # Scans -----------------------------------------------------------------------------------------------------------

@@ -77,7 +77,12 @@ _of("mth02_backoff", "audio", "CAST(30 * power(2, id % 8) AS BIGINT) AS wait, CA
 _of("arr01_field_values", "dockets", "list_filter([nullif(case_name,''), nullif(case_name_full,''), nullif(case_name_short,'')], lambda x: x IS NOT NULL) AS names", names=lambda: F.filter(F.array(F.nullif("case_name", F.lit("")), F.nullif("case_name_full", F.lit("")), F.nullif("case_name_short", F.lit(""))), lambda x: x.isNotNull()))
 _of("jsn02_item_hash", "audio", "sha256(coalesce(case_name,'') || '|' || coalesce(sha1,'')) AS hash", hash=lambda: F.sha2(F.concat(F.coalesce("case_name", F.lit("")), F.lit("|"), F.coalesce("sha1", F.lit(""))), 256))
 _of("dup15_captions_differ", "dockets", "len(list_intersect(a, b)) / greatest(least(len(a), len(b)), 1) < 0.5 AS differs", frm="(SELECT id, list_distinct(list_filter(string_split(trim(regexp_replace(regexp_replace(lower(coalesce(case_name,'')), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g')), ' '), lambda w: length(w) > 1 AND NOT list_contains(" + str(list(T.COMMON_CAPTION_WORDS)) + ", w))) AS a, list_distinct(list_filter(string_split(trim(regexp_replace(regexp_replace(lower(coalesce(case_name_full,'')), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g')), ' '), lambda w: length(w) > 1 AND NOT list_contains(" + str(list(T.COMMON_CAPTION_WORDS)) + ", w))) AS b FROM dockets)", differs=lambda: T.captions_too_different(F.coalesce("case_name", F.lit("")), F.coalesce("case_name_full", F.lit(""))))
-_of("scr18_usefulness", "opinion_clusters", "round(least(greatest((500 + CASE WHEN regexp_matches(lower(s), '^(?:holding|deciding|finding|concluding|ruling) that') THEN 400 WHEN regexp_matches(lower(s), '^[a-z]+ing that') THEN 300 WHEN regexp_matches(lower(s), '^(?:holding|deciding|finding|concluding|ruling)') THEN 300 WHEN regexp_matches(lower(s), '^[a-z]+ing') AND n > 5 THEN 200 ELSE 0 END + 25 * log10(CASE WHEN coalesce(citation_count,0) > 0 THEN citation_count ELSE 1 END) - CASE WHEN n < 15 THEN power(20 - n, 2) WHEN n > 25 THEN power(n - 20, 1.5) ELSE 0 END) / 1000, 0.0), 1.0), 6) AS score", frm="(SELECT *, coalesce(syllabus,'') AS s, len(string_split(coalesce(syllabus,''), ' ')) AS n FROM opinion_clusters)", score=lambda: F.round(D.usefulness(F.coalesce("syllabus", F.lit("")), c("citation_count")), 6))
+_of(
+    "scr18_usefulness", "opinion_clusters",
+    "round(greatest(0.0, least(1.0, (500 + bonus + 25 * log10(greatest(coalesce(citation_count, 0), 1)) - CASE WHEN n BETWEEN 15 AND 25 THEN 0 WHEN n < 15 THEN power(20 - n, 2) ELSE power(n - 20, 1.5) END) / 1000)), 6) AS score",
+    frm="(SELECT *, CASE WHEN v AND that THEN 400 WHEN that THEN 300 WHEN v THEN 300 WHEN ing AND n > 10 THEN 200 ELSE 0 END AS bonus FROM (SELECT *, len(string_split(coalesce(syllabus, ''), ' ')) AS n, regexp_matches(coalesce(syllabus, ''), '^(holding|deciding|ruling|recognizing|concluding)', 'i') AS v, regexp_matches(coalesce(syllabus, ''), '^\\S+ing that', 'i') AS that, regexp_matches(coalesce(syllabus, ''), '^\\S+ing', 'i') AS ing FROM opinion_clusters))",
+    score=lambda: F.round(D.usefulness(F.coalesce("syllabus", F.lit("")), c("citation_count")), 6),
+)
 _of("scr17_hit_count", "people", "CAST(name_first ILIKE '%an%' AS INT) + CAST(coalesce(name_middle,'') ILIKE '%an%' AS INT) + CAST(name_last ILIKE '%an%' AS INT) + CAST(coalesce(name_suffix,'') ILIKE '%an%' AS INT) AS hits", hits=lambda: sum((F.coalesce(c(f"name_{p}"), F.lit("")).ilike("%an%").cast("int") for p in ("middle", "last", "suffix")), c("name_first").ilike("%an%").cast("int")))
 _of("qry06_unbalanced_parens", "documents", "length(text) - length(replace(text,'(','')) <> length(text) - length(replace(text,')','')) AS unbalanced", unbalanced=lambda: F.length(F.replace("text", F.lit("("), F.lit(""))) != F.length(F.replace("text", F.lit(")"), F.lit(""))))
 _of("qry07_unbalanced_quotes", "documents", "len(regexp_extract_all(text, '[“”\"]')) % 2 <> 0 AS unbalanced", unbalanced=lambda: F.regexp_count("text", F.lit('[“”"]')) % 2 != 0)

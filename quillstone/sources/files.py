@@ -14,7 +14,7 @@ from pyspark.sql.types import StructType
 
 def read_csv(spark: SparkSession, path: str, schema: str | StructType, sep: str = ",", skip_bad: bool = True) -> DataFrame:
     """A CSV with header; malformed lines are dropped, or raise."""
-    return spark.read.csv(path, schema=schema, sep=sep, header=True, quote='"', escape="\\" if sep == "," else '"', multiLine=sep == ",", mode="DROPMALFORMED" if skip_bad else "FAILFAST")
+    return spark.read.csv(path, schema=schema, sep=sep, header=True, quote='"', escape="\\" if sep == "," else '"', multiLine=sep == ",", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, mode="DROPMALFORMED" if skip_bad else "FAILFAST")
 
 
 def read_statistics(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
@@ -52,9 +52,9 @@ def embedded_xml(c: Column, **fields: str) -> list[Column]:
 
 
 def write_quoted_csv(df: DataFrame, path: str, parts: int | None = None) -> None:
-    """CSV with header, every value quoted, backslash as escape."""
+    """CSV with header, every value quoted, backslash as escape; white space around values stays."""
     out = df.repartition(parts) if parts else df
-    out.write.mode("overwrite").csv(path, header=True, quoteAll=True, escape="\\", nullValue=None, emptyValue="")
+    out.write.mode("overwrite").csv(path, header=True, quoteAll=True, escape="\\", nullValue=None, emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def write_manifest(df: DataFrame, key: str, bucket: str, path: str, batch: int) -> None:

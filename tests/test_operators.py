@@ -224,3 +224,75 @@ def test_streams(spark, tmp_path):
     q = pipelines.upsert(s(), str(tmp_path / "table"), ["alert"], "at", str(tmp_path / "ck"))
     q.awaitTermination()
     assert spark.read.parquet(str(tmp_path / "table" / "v0")).count() == 3
+
+
+# Citations by place ------------------------------------------------------------------------------------------------------
+
+
+def test_citations_know_their_place(spark):
+    """Positions count the words before; short and supra citations lead to the one case cited in full."""
+    from quillstone.operators import citations as C
+
+    text = "See Ames v. Bell, 410 Ard. 2d 12, 7 Fed. Dec. 9. Later, 410 Ard. 2d at 15 and Ames, supra, hold. Cole, supra, does not."
+    df = spark.createDataFrame([(1, text), (2, None), (3, ""), (4, "none here")], "id int, t string").withColumn("pos", F.lit("clash"))
+    full = C.extract(df.select("id", "t"), "id", "t")
+    assert [(r["pos"], r["volume"], r["reporter"], r["page"]) for r in full.orderBy("seq").collect()] == [(4, 410, "Ard. 2d", 12), (8, 7, "Fed. Dec.", 9)]
+    cases = spark.createDataFrame([(410, "Ard. 2d", 12, 70)], "volume int, reporter string, page int, case_id bigint")
+    done = C.resolve(full, cases)
+    short = C.resolve_short(C.extract_short(df, "id", "t"), done, "id").collect()
+    assert [(r["volume"], r["pin"], r["case_id"]) for r in short] == [(410, 15, 70)]
+    names = spark.createDataFrame([(70, "Ames v. Bell"), (71, "Cole v. Dunn")], "case_id bigint, case_name string")
+    supra = C.resolve_supra(C.extract_supra(df, "id", "t"), done, names, "id").collect()
+    assert {(r["name"], r["case_id"]) for r in supra} == {("Ames", 70), ("Cole", None)}
+    runs = C.parallel_runs(full, "id", "pos", 6).collect()
+    assert [list(r["cites"]) for r in runs] == [["410 Ard. 2d 12", "7 Fed. Dec. 9"]]
+    assert C.parallel_runs(full, "id", "pos", 3).count() == 0
+
+
+@pytest.mark.parametrize(
+    "text, cites, want",
+    [
+        ("holding that the stay was lifted by the court below on the merits of the long case", 1, 0.88 + 0.0),
+        ("recognizing that rule", 10, (500 + 400 + 25 - 17**2) / 1000),
+        ("Finding that the rule had been met on all of the counts that were pleaded in the case", 0, 0.8),
+        ("relying on the common law of the state as it stood then", 0, (500 + 200 - 8**2) / 1000),
+        ("relying on common law", 0, (500 - 16**2) / 1000),
+        ("", None, (500 - 19**2) / 1000),
+    ],
+)
+def test_usefulness(spark, text, cites, want):
+    from quillstone.functions.dockets import usefulness
+
+    got = spark.createDataFrame([(text, cites)], "t string, n int").select(usefulness(F.col("t"), F.col("n")).alias("s")).first()["s"]
+    assert abs(got - want) < 1e-9
+
+
+def test_judges_of_two_sources(spark):
+    from quillstone.functions import records as N
+
+    rows = [("Judge Ames, De Bell and Cole Jr.", "Ames"), ("Per Curiam", "Ames"), ("Ames", "Ames"), ("Ames, Dunn", "BELL, COLE"), ("Dunn, Ames", "Bell, Cole"), (None, None)]
+    got = spark.createDataFrame(rows, "a string, b string").select(N.judge_surnames(F.col("a")).alias("names"), N.just_name(F.col("a")).alias("one"), N.merged_judges(F.col("a"), F.col("b")).alias("merged")).collect()
+    assert list(got[0]["names"]) == ["Ames", "Cole Jr.", "De Bell"] and got[0]["merged"] == "Ames, Cole Jr., De Bell"
+    assert list(got[1]["names"]) == ["PER CURIAM"] and got[1]["one"] == "PER CURIAM"
+    assert got[2]["merged"] is None and got[3]["merged"] == "Ames, Dunn" and got[4]["merged"] is None and got[5]["merged"] is None and list(got[5]["names"]) == []
+
+
+def test_quoted_csv_keeps_every_value(spark, tmp_path):
+    from quillstone.sources import files
+
+    rows = [(1, ' padded "quoted", \\ and\nbroken '), (2, ""), (3, "plain")]
+    path = str(tmp_path / "c")
+    files.write_quoted_csv(spark.createDataFrame(rows, "id int, t string"), path)
+    back = {r["id"]: r["t"] or "" for r in files.read_csv(spark, path, "id int, t string").collect()}
+    assert back == {i: t for i, t in rows}
+
+
+def test_written_tables_go(spark):
+    from quillstone import session
+
+    t = session.materialise(spark.range(10), "gone")
+    assert session.written_bytes(t) > 0 and session.broadcast_if_small(t).count() == 10
+    session.discard(t)
+    import os
+
+    assert not os.path.exists(t._quillstone_path.removeprefix("file:"))
