@@ -108,6 +108,10 @@ def upsert(stream: DataFrame, path: str, key: list[str], at: str, checkpoint: st
             versions = sorted(int(s.getPath().getName()[1:]) for s in fs.listStatus(hadoop))
             have = spark.read.parquet(f"{path}/v{max(v for v in versions if v < number)}").unionByName(batch) if any(v < number for v in versions) else batch
         newest(have).write.mode("overwrite").parquet(f"{path}/v{number}")
+        # The version read stays, in case this batch is repeated; older ones go.
+        older = [v for v in versions if v < number] if fs.exists(hadoop) and have is not batch else []
+        for v in older[:-1]:
+            fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v{v}"), True)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -21,10 +21,14 @@ def test_equals_its_sql(spark, data, con, name):
     assert rows_of(got) == rows_of(want)
 
 
+#: Queries whose cases need not stand in the smallest tables; unit tests hold them.
+MAY_BE_EMPTY = {"cit04_short_citations", "cit12_parallel_runs", "cit15_filing_edges", "cit23_supra"}
+
+
 @pytest.mark.parametrize("name", [n for n in CORE if n not in TWINS])
 def test_runs(spark, data, name):
     df = entry.queries()[name](spark, data)
-    assert df.columns and df.count() >= 0
+    assert df.columns and (name in MAY_BE_EMPTY or df.count() > 0)
 
 
 def test_entry(spark):
