@@ -27,6 +27,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillstone.llm.names import one_per_id
 from quillstone.session import materialise
 
 CUT = 0.5
@@ -71,7 +72,7 @@ def caption_tokens(c: Column) -> Column:
 
 
 def _prepared(df: DataFrame, key: str) -> DataFrame:
-    rows = df.dropDuplicates([key]).select(
+    rows = one_per_id(df.select(key, "court_id", "docket_number", "case_name", "date_filed"), key).select(
         F.col(key).alias("id"), court_key(F.col("court_id")).alias("court"), number_parts(F.col("docket_number")).alias("num"), F.col("case_name").alias("name"), F.col("date_filed").cast("date").alias("filed"), caption_tokens(F.col("case_name")).alias("words"),
     )
     return rows.select("id", "court", "num.*", "name", "filed", "words")
@@ -199,8 +200,9 @@ def fit_label_model(patterns: list[tuple[str, ...]], counts: np.ndarray) -> np.n
     The latent variable has one value for a match and three for the ways in
     which pairs come to resemble one another without being one: the same
     parties in another case, the same number in another court or kind, and a
-    shared word on a shared date. It starts from plain rules: agreement in
-    three kinds of evidence, or in two and against none, is a match.
+    shared word on a shared date. Rules only say where it starts: agreement in
+    three kinds of evidence, or in two and against none, is a match. What each
+    vote is worth in each class is learned.
     """
     cols = [np.unique([p[g] for p in patterns], return_inverse=True) for g in range(len(_GROUPS))]
     agrees = {"number": ("same==", "same=0", "same0=", "same00", "slip=", "slip0"), "name": ("all", "most"), "date": ("same", "near"), "court": ("same", "near")}
@@ -210,21 +212,13 @@ def fit_label_model(patterns: list[tuple[str, ...]], counts: np.ndarray) -> np.n
     match = (yes.sum(1) >= 3) & (yes[:, 1] | (no.sum(1) == 0)) | (yes.sum(1) >= 2) & (no.sum(1) == 0) & yes[:, 1]
     parties = ~match & yes[:, 1]
     number = ~match & ~parties & np.array([p[0].startswith("same") for p in patterns])
-    # What each kind may look like keeps the classes from trading places: small weights, not zeros.
-    rare = 0.02
-    masks = [np.ones((len(values), 4)) for values, _ in cols]
-    for i, v in enumerate(cols[0][0]):
-        masks[0][i] = [0.2 if v == "other" else 1, rare if v.startswith(("same", "slip")) else 0.3 if v == "0" else 1, 1 if v.startswith("same") else rare, rare if v.startswith(("same", "slip")) else 1]
-    for i, v in enumerate(cols[1][0]):
-        alike = v in ("all", "most", "side")
-        masks[1][i] = [rare if v == "none" else 1, 1 if alike else rare, rare if alike else 1, rare if alike else 1]
     post = np.stack([match, parties, number, ~(match | parties | number)], axis=1) * 0.94 + 0.015
     for _ in range(ROUNDS):
         w = counts[:, None] * post
         share = (w.sum(0) + 1) / (w.sum() + 4)
         z = np.tile(np.log(share), (len(patterns), 1))
-        for (values, at), mask in zip(cols, masks):
-            p = (np.stack([np.bincount(at, w[:, k], len(values)) for k in range(4)], axis=1) + 0.2) * mask
+        for values, at in cols:
+            p = np.stack([np.bincount(at, w[:, k], len(values)) for k in range(4)], axis=1) + 0.2
             silent = values == "0"  # abstaining says nothing: as likely in every class
             if silent.any() and not silent.all():
                 q = counts[silent[at]].sum() / counts.sum()
